@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brindle.llm import queries_basic
+from brindle.llm import queries_basic, queries_files, queries_vectors
 
-MODULES = (queries_basic,)
+MODULES = (queries_basic, queries_files, queries_vectors)
 
 
 def queries() -> dict:
