@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brindle.llm import queries_basic, queries_files, queries_leakage, queries_sentences, queries_vectors
+from brindle.llm import queries_basic, queries_files, queries_leakage, queries_mixing, queries_sentences, queries_vectors
 
-MODULES = (queries_basic, queries_files, queries_leakage, queries_sentences, queries_vectors)
+MODULES = (queries_basic, queries_files, queries_leakage, queries_mixing, queries_sentences, queries_vectors)
 
 
 def queries() -> dict:
