@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brindle.plans import integrity
+from brindle.plans import integrity, recall_queries, text_queries
 
-MODULES = (integrity,)
+MODULES = (integrity, text_queries, recall_queries)
 FLAGSHIP = integrity.p6_counts
 
 
