@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from brindle.plans import integrity, recall_queries, text_queries
+from brindle.plans import index_queries, integrity, ranking_queries, recall_queries, text_queries
 
-MODULES = (integrity, text_queries, recall_queries)
-FLAGSHIP = integrity.p6_counts
+MODULES = (integrity, text_queries, recall_queries, index_queries, ranking_queries)
+#: Twelve results per query: ranked, clamped, one per path.
+FLAGSHIP = ranking_queries.f30_selected
 
 
 def queries() -> dict:
