@@ -117,7 +117,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, trees: int = 12, reach: int
     the outermost ``reach`` places of a range see fewer candidates in that tree, at
     other places in every tree. Vectors are shuffled once per tree, then only ids.
     """
-    distinct = vectors.dropDuplicates(["space", "vec_id"])
+    distinct = vectors.select("space", "vec_id", "dimensions", "vector").dropDuplicates(["space", "vec_id"])
     lowest = distinct.groupBy("space", "dimensions", "vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("members"))
     hashed = lowest.select("space", "vec_id", "dimensions", "vector").mapInPandas(_keys(trees), "space string, tree int, key bigint, vec_id bigint, vector array<float>")
     ranges = max(2, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
