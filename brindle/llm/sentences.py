@@ -9,6 +9,7 @@ at times), then the tables of all languages.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 
@@ -126,9 +127,11 @@ _NUMBERED = regex.compile(r"\s*(\d{1,4})[.)]\s+\S")
 #: Where a unit may end: after a mark and what closes with it, before a blank or a letter.
 _CANDIDATE = regex.compile(rf"(?:[.!?…]+|[。！？｡]+|[।॥؟۔]+|;)(?:[   ]?[»]|{CLOSERS})*")
 _THAI_BLANK = regex.compile(r"(?<=\p{Thai})\s+(?=\p{Thai})")
+#: Quotes and brackets inside a sentence are short; what is longer is no such thing.
 _QUOTED = regex.compile(
-    r"\((?:[^()]|\([^()]*\))*\)|（[^（）]*）|\[[^\[\]]*\]|【[^【】]*】|「[^「」]*」|『[^『』]*』|„[^„“”]*[“”]|“[^“”]*”|«[^«»]*»|‹[^‹›]*›"
-    r"|(?<![\p{L}\p{N}\"])\"(?=\S)[^\"]*(?<=\S)\"|`[^`\n]*`"
+    r"\((?:[^()]|\([^()]{0,200}\)){0,400}\)|（[^（）]{0,400}）|\[[^\[\]]{0,400}\]|【[^【】]{0,400}】|「[^「」]{0,400}」|『[^『』]{0,400}』"
+    r"|„[^„“”]{0,400}[“”]|“[^“”]{0,400}”|«[^«»]{0,400}»|‹[^‹›]{0,400}›"
+    r"|(?<![\p{L}\p{N}\"])\"(?=\S)[^\"]{0,400}(?<=\S)\"|`[^`\n]{0,400}`"
     # what is opened shortly before the end and never closed
     r"|[(（][^()（）]{0,90}\Z|[“„«「][^“”„«»「」]{0,90}\Z|(?<![\p{L}\p{N}\"])\"(?=\S)[^\"]{0,90}\Z",
     regex.V1,
@@ -177,11 +180,13 @@ def _running(text: str, start: int, end: int, language: str | None) -> Iterator[
     for name in scripts:
         languages.update(dict.fromkeys(BY_SCRIPT[name]))
     rules = rule_tables(tuple(languages))
-    inside = [(m.start(), m.end()) for m in _QUOTED.finditer(body)]
+    quoted = [(m.start(), m.end()) for m in _QUOTED.finditer(body)]
+    opened = [low for low, _ in quoted]
     ends = {m.start() for m in _THAI_BLANK.finditer(body)}
     for m in _CANDIDATE.finditer(body):
         at = m.end()
-        if any(low < at < high for low, high in inside):
+        n = bisect.bisect_left(opened, at) - 1
+        if n >= 0 and at < quoted[n][1]:
             continue
         for breaks, pattern in rules:
             if pattern.match(body, at):
