@@ -61,3 +61,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 _shipped: set[str] = set()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in enough partitions for work that is long per row. A table that lies in
+    fewer splits than there are cores, as small tables in large files do, is dealt out by
+    ``key``; a larger one stays where it is read."""
+    wanted = 3 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
