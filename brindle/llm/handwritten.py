@@ -16,8 +16,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Directories that hold third-party code, and markers of generators.
+# Directories that hold third-party code, files that package managers
+# write, and markers of generators and libraries.
 VENDOR_DIRS = ("3rdparty", "bower_components", "deps", "external", "node_modules", "third_party", "vendor")
+LOCKFILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "uv.lock", "Cargo.lock", "go.sum", "composer.lock")
 GENERATED_HEADER = r"""(?xi)
     @generated | <auto-?generated | \bautogenerated\b | automatically\ generated\ by | \bauto-generated\b
   | \bgenerated\ by\ \S.*do\ not\ (edit|modify) | code\ generated\ by\ .*do\ not\ edit | built\ from\ \S+;\ edit
@@ -40,11 +42,11 @@ COMMENT = r"^\s*(?:#|//|/\*|\*|<!--|\{?\s*\"_comment\"|--|;|%|'''|\"\"\")"
 #: four commonest line forms, where these are few) from ``lines`` lines on. Markup and data languages repeat
 #: their layout by nature and have no such limit.
 THRESHOLDS = {
-    "default": {"space": 0.09, "line": 120, "digits": 0.34, "encoded": 0.4, "repeat": 0.78, "lines": 8},
+    "default": {"space": 0.09, "line": 120, "digits": 0.28, "encoded": 0.2, "repeat": 0.78, "lines": 8},
     "js": {"space": 0.1, "line": 90},
     "ts": {"space": 0.1, "line": 90},
     "css": {"space": 0.1, "repeat": 2},
-    "json": {"space": 0.08, "line": 400, "digits": 0.45, "repeat": 2},
+    "json": {"space": 0.08, "line": 400, "digits": 0.35, "repeat": 2},
     "xml": {"space": 0.06, "line": 200, "repeat": 2},
 }
 
@@ -170,8 +172,9 @@ def classify_files(files: DataFrame, texts: DataFrame) -> DataFrame:
     copied = known.filter(F.col("in_vendor") & F.col("body_hash").isNotNull()).select("body_hash").distinct().withColumn("copied", F.lit(True))
     joined = known.join(by_folder, "file_id", "left").join(copied, "body_hash", "left")
     vendored = F.col("has_text") & (F.col("in_vendor") | F.coalesce("folder_named", F.lit(False)) | F.coalesce("copied", F.lit(False)))
+    lockfile = F.col("has_text") & F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1).isin(*LOCKFILES)
     data = (F.col("encoded_share") > _limit("encoded")) | (F.col("digit_share") > _limit("digits"))
     minified = (F.col("space_share") < _limit("space")) & (F.col("mean_line") > _limit("line"))
     repeated = (F.col("repeat_share") >= _limit("repeat")) & (F.col("code_lines") >= _limit("lines"))
-    origin = F.when(vendored, "vendored").when(F.col("generated_header"), "generated").when(data, "data").when(minified, "minified").when(repeated, "generated").otherwise("handwritten")
+    origin = F.when(vendored, "vendored").when(F.col("generated_header") | lockfile, "generated").when(data, "data").when(minified, "minified").when(repeated, "generated").otherwise("handwritten")
     return joined.withColumn("origin", origin).select("file_id", "path", "suffix", "max_line", "mean_line", "space_share", "alnum_share", "digit_share", "encoded_share", "repeat_share", "code_lines", "generated_header", "library", "origin")

@@ -154,7 +154,7 @@ def _blocks(text: str) -> Iterator[tuple[str, int, int]]:
                 fence = None
             continue
         number = _NUMBERED.match(line)
-        entry = _BULLET.match(line) or (number and (start is None or int(number.group(1)) == 1))
+        entry = _BULLET.match(line) or (number and (start is None or listed or int(number.group(1)) == 1))
         special = _FENCE.match(line) or _HEADING.match(line) or entry
         if start is not None and (special or not line.strip()):
             yield ("whole" if listed else "running"), start, low
@@ -234,4 +234,5 @@ def sentence_units(documents: DataFrame) -> DataFrame:
                     before = end
             yield pd.DataFrame(rows, columns=["doc_id", "unit", "start_pos", "end_pos", "sentence"])
 
-    return documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).mapInPandas(split, "doc_id bigint, unit int, start_pos bigint, end_pos bigint, sentence string")
+    read = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    return read.mapInPandas(split, "doc_id bigint, unit int, start_pos bigint, end_pos bigint, sentence string")

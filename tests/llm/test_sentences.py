@@ -27,6 +27,7 @@ CASES = [
     ("hi", "दर 0.66 % है। क्यों? ठीक।", ["दर 0.66 % है।", "क्यों?", "ठीक।"]),
     ("th", "ห้ามแก้ไข ทำไมจึงหายไป", ["ห้ามแก้ไข", "ทำไมจึงหายไป"]),
     ("ar", "لماذا؟ لا تعدل!", ["لماذا؟", "لا تعدل!"]),
+    ("en", "Do this:\n1. One. two\n2. Three\n3) Four\n\nThe year\n2010. It ended.", ["Do this:", "1. One. two", "2. Three", "3) Four", "The year\n2010.", "It ended."]),
     (None, "# A head. Two\ntext here\ngoes on\n\n* one. two\n* three\n```\nx. y\n\nz\n```\nend", ["# A head. Two", "text here\ngoes on", "* one. two", "* three", "```\nx. y\n\nz\n```", "end"]),
 ]
 
