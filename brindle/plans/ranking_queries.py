@@ -152,7 +152,7 @@ def h11_comparison(spark: SparkSession, d: str) -> DataFrame:
 def h13_feedback(spark: SparkSession, d: str) -> DataFrame:
     """Events by type and day: number, extremes and mean of the value, users."""
     events = table(spark, d, "events")
-    return events.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.min("value"), 4).alias("least"), F.round(F.max("value"), 4).alias("most"), F.round(F.sum(F.round(F.col("value") * 100).cast("bigint")) / (100 * F.count("value")), 4).alias("mean"), F.count_distinct("user_id").alias("users"))
+    return events.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.min("value"), 4).alias("least"), F.round(F.max("value"), 4).alias("most"), F.expr("sum(cast(round(value * 100) as bigint)) div count(value)").alias("mean_cents"), F.count_distinct("user_id").alias("users"))
 
 
 def h16_redacted(spark: SparkSession, d: str) -> DataFrame:
@@ -210,6 +210,6 @@ s AS (SELECT 'overall' AS grouping, 'all' AS value, * FROM c UNION ALL SELECT 'w
 SELECT grouping, value, count(*) AS cases, count(*) FILTER (hit_10) AS hits, round(count(*) FILTER (hit_10) / count(*)::DOUBLE, 6) AS hit_rate, round(avg(reciprocal_rank), 6) AS mrr, quantile_disc(latency, 0.5) AS latency_p50, quantile_disc(latency, 0.95) AS latency_p95 FROM s GROUP BY grouping, value""",
     "h11_comparison": CASES + f""", plain AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS position, evidence_class = 'original_direct' AS relevant, evidence_class = 'weak_or_generic' AS noise FROM cand), before AS (SELECT query_id, {METRICS} FROM plain GROUP BY query_id)
 SELECT query_id, CASE WHEN a.reciprocal_rank IS NULL THEN 'added' WHEN b.reciprocal_rank IS NULL THEN 'removed' WHEN round(b.reciprocal_rank - a.reciprocal_rank, 6) < -0.25 OR (a.hit_5 AND NOT b.hit_5) OR b.noise_5 - a.noise_5 >= 2 THEN 'regressed' WHEN round(b.reciprocal_rank - a.reciprocal_rank, 6) > 1e-12 OR (b.hit_5 AND NOT a.hit_5) THEN 'improved' ELSE 'same' END AS status, round(b.reciprocal_rank - a.reciprocal_rank, 6) AS rank_delta FROM before a FULL JOIN cases b USING (query_id)""",
-    "h13_feedback": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(min(value), 4) AS least, round(max(value), 4) AS most, round(sum(round(value * 100)::BIGINT)::BIGINT / (100 * count(value))::DOUBLE, 4) AS mean, count(DISTINCT user_id) AS users FROM events GROUP BY ALL",
+    "h13_feedback": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(min(value), 4) AS least, round(max(value), 4) AS most, (sum(round(value * 100)::BIGINT)::BIGINT // count(value)) AS mean_cents, count(DISTINCT user_id) AS users FROM events GROUP BY ALL",
     "h16_redacted": r"SELECT file_id, regexp_replace(regexp_replace('cannot read ' || absolute_path || ': token=abc123', '(?i)(api[_-]?key|token|secret|password)(\s*[=:]\s*)\S+', '\1\2[redacted]', 'g'), '/(home|Users|root|srv)/[^\s:''\x22]+', '[path]', 'g') AS message FROM source_files",
 }
