@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import cut_lineage
+from brindle.session import cut_lineage, spread
 
 #: Languages written without blanks: runs are counted in letters, not in words.
 UNSPACED = ("zh", "ja", "th")
@@ -359,7 +359,7 @@ def _leaked_in_block(documents: DataFrame, block: Block, least: float, rank: int
     block.items = [i for i in block.items if i.terms]
     if not block.items:
         return None
-    texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull())
+    texts = spread(documents.select("doc_id", "text").filter(F.col("text").isNotNull()), "doc_id")
     # Read by four passes: written once to the shared checkpoint folder.
     sequences = cut_lineage(texts.mapInPandas(_sequences(block), "doc_id bigint, unspaced boolean, terms array<int>"))
     size = len(block.vocabulary)
