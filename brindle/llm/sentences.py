@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import spread
+
 # --- rule tables ---------------------------------------------------------------
 # Abbreviations per language. ``number`` ones are abbreviations only
 # before a number, ``open`` ones never end a sentence, ``either`` ones end it before
@@ -219,7 +221,8 @@ def sentence_units(documents: DataFrame) -> DataFrame:
     ``documents`` has ``doc_id, text, lang``. ``start_pos`` is after the end of the unit
     before, white space skipped; ``end_pos`` as in ``unit_ends``. Null and blank texts
     have no units; ``lang`` may be null or wrong; a null ``doc_id`` is kept as null;
-    repeated rows give repeated units. A document is split where it is read: no shuffle.
+    repeated rows give repeated units. A document is split where it is read; only a table of
+    few splits is dealt out first.
     """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,4 +238,4 @@ def sentence_units(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "unit", "start_pos", "end_pos", "sentence"])
 
     read = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    return read.mapInPandas(split, "doc_id bigint, unit int, start_pos bigint, end_pos bigint, sentence string")
+    return spread(read, "doc_id").mapInPandas(split, "doc_id bigint, unit int, start_pos bigint, end_pos bigint, sentence string")
