@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import cut_lineage, spread
+
 # Directories that hold third-party code, files that package managers
 # write, and markers of generators and libraries.
 VENDOR_DIRS = ("3rdparty", "bower_components", "deps", "external", "node_modules", "third_party", "vendor")
@@ -149,11 +151,11 @@ def classify_files(files: DataFrame, texts: DataFrame) -> DataFrame:
     texts are ``handwritten`` unless path or header say otherwise; a file without a
     text row counts as empty; repeated rows of a file count once. Null ids are left out.
 
-    Texts are read once, one row of statistics each is shuffled; the library names and
+    Texts are read once, and one row of statistics each is kept in the checkpoint folder; the library names and
     the hashes of library code come back as semi joins that AQE may broadcast by size.
     """
-    text = texts.select("file_id", "content").dropna(subset=["file_id"])
-    stats = text.mapInPandas(_layouts, SCHEMA).dropDuplicates(["file_id"])
+    text = spread(texts.select("file_id", "content").dropna(subset=["file_id"]), "file_id")
+    stats = cut_lineage(text.mapInPandas(_layouts, SCHEMA).dropDuplicates(["file_id"]))
     named = files.select("file_id", "path").dropna(subset=["file_id"]).dropDuplicates(["file_id"])
     known = named.join(stats, "file_id", "left").withColumns(
         {
