@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brindle.session import cut_lineage
+
 #: Folder of the public vocabulary files, and the file counted with.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -173,14 +175,14 @@ def mix_sources(documents: DataFrame, targets: DataFrame, budget: float | None =
     empty. Equal texts of one source are one document. Targets that are null, zero or
     negative ask for nothing.
     """
-    sources = distinct_texts(documents)
+    sources = cut_lineage(distinct_texts(documents))  # tokens are counted once
     return realise(sources, plan_mixes(sources, targets, budget), seed)
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 1) -> DataFrame:
     """Per mix and source: target, planned and reached share of tokens, documents, copies,
     the most copies of one document, and whether the source is absent."""
-    sources = distinct_texts(documents)
+    sources = cut_lineage(distinct_texts(documents))
     plan = plan_mixes(sources, targets, budget)
     used = realise(sources, plan, seed).groupBy("mix_id", "source").agg(
         F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies")
