@@ -3,9 +3,11 @@
 Each tree gives every vector a long string of hash bits (the sides of random
 hyperplanes) and keeps the vectors of a space as one array sorted by that string.
 Where a vector stands, its neighbours in the array are those with the longest common
-prefixes: going outwards is ascending the prefix tree, level by level. All trees are
-ascended alike, ``reach`` places to each side, and the candidates of all trees are
-compared exactly.
+prefixes. Of every tree ``reach`` places to each side are taken, whatever the length of
+the prefix, and the candidates of all trees are compared exactly. What is close is found
+that way; the nearest of a vector without close ones may share no long prefix with it in
+any tree. So the forest can be completed: its k-th best cosine is a bound, and every pair
+of a space that reaches the bound of either side is taken.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql.window import Window
 
 #: Bits of a hash string; one signed 64-bit key keeps their order.
 BITS = 63
+#: Vectors of a block of the completing pass, and rows of it compared at a time.
+BLOCK, STEP = 4096, 1024
 
 
 def planes(dimensions: int, trees: int) -> np.ndarray:
@@ -100,7 +104,46 @@ def comparable_vectors(vectors: DataFrame, configs: DataFrame) -> DataFrame:
     return rows.join(named, "space").filter((F.size("vector") == F.col("dimensions")) & finite & some).select("space", "vec_id", "chunk_id", F.col("dimensions").cast("int").alias("dimensions"), "vector")
 
 
-def nearest_vectors(vectors: DataFrame, k: int = 5, trees: int = 12, reach: int = 512, least: float = -1.0) -> DataFrame:
+def _within_bounds(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    """Pairs between two blocks of a space, or within one, that reach the bound of a side."""
+    space, low, high = key
+    unit = np.stack(part["vector"].to_numpy()).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    single = unit.astype(np.float32)
+    ids, bound, block = part["vec_id"].to_numpy(), part["bound"].to_numpy(np.float32) - np.float32(1e-5), part["block"].to_numpy()
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    rows, others = [], []
+    for start in range(0, len(left), STEP):
+        own = left[start : start + STEP]
+        near = single[own] @ single[right].T
+        a, b = np.nonzero(near >= bound[own][:, None])
+        rows.append(own[a])
+        others.append(right[b])
+        if low != high:
+            a, b = np.nonzero(near >= bound[right][None, :])
+            rows.append(right[b])
+            others.append(own[a])
+    rows, others = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (rows, others))
+    rows, others = rows[rows != others], others[rows != others]
+    return pd.DataFrame({"space": space, "vec_id": ids[rows], "other": ids[others], "cosine": np.einsum("ij,ij->i", unit[rows], unit[others])})
+
+
+def _completed(best: DataFrame, lowest: DataFrame, k: int, least: float) -> DataFrame:
+    """The ``k`` nearest without loss: all pairs that reach the bounds ``best`` gives.
+
+    Every two blocks of a space meet once, so work and shuffle grow with the square of a
+    space; a task holds two blocks."""
+    bounds = best.filter(F.col("position") == k).select("space", "vec_id", F.col("cosine").alias("bound"))
+    blocks = lowest.groupBy("space").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = lowest.select("space", "vec_id", "vector").join(bounds, ["space", "vec_id"], "left").join(blocks, "space")
+    rows = rows.withColumn("bound", F.greatest(F.coalesce("bound", F.lit(-1.5)), F.lit(float(least)))).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    met = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
+    pairs = met.select("space", "low", "high", "block", "vec_id", "vector", "bound").groupBy("space", "low", "high").applyInPandas(_within_bounds, "space string, vec_id bigint, other bigint, cosine double")
+    order = Window.partitionBy("space", "vec_id").orderBy(F.desc("cosine"), "other")
+    return pairs.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+
+
+def nearest_vectors(vectors: DataFrame, k: int = 5, trees: int = 12, reach: int = 512, least: float = -1.0, complete: bool = False) -> DataFrame:
     """The ``k`` most similar vectors of every vector: ``space, vec_id, other, cosine, position``.
 
     ``vectors`` has ``space, vec_id, dimensions, vector``; only vectors of one space are
@@ -109,7 +152,8 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, trees: int = 12, reach: int
     A repeated ``vec_id`` counts once. Vectors equal number for number are one class:
     its least id stands for it in the forest, and its members come back as neighbours of
     each other and in place of it, so copies never crowd the reach of a hash prefix.
-    Empty input gives no rows.
+    Empty input gives no rows. With ``complete`` nothing is lost, at a cost that grows
+    with the square of a space; without, what the forest does not meet is missing.
 
     The sorted arrays are one range-partitioned sort by ``(space, tree, key, vec_id)``:
     ranges are balanced by rows, so a space, or a prefix, with any share of all vectors
@@ -125,6 +169,8 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, trees: int = 12, reach: int
     near = ordered.mapInPandas(_neighbours(k, reach, least), "space string, vec_id bigint, other bigint, cosine double").dropDuplicates(["space", "vec_id", "other"])
     order = Window.partitionBy("space", "vec_id").orderBy(F.desc("cosine"), "other")
     best = near.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+    if complete:
+        best = _completed(best, lowest, k, least)
     return _with_copies(best, distinct, lowest, k)
 
 

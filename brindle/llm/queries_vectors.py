@@ -18,10 +18,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """The five nearest of every vector with their chunk ids."""
+    """The five nearest of every vector, without loss, with their chunk ids."""
     vectors = _vectors(spark, d)
     chunk = vectors.select("space", "vec_id", "chunk_id").dropDuplicates(["space", "vec_id"])
-    nearest = nearest_vectors(vectors, k=5)
+    nearest = nearest_vectors(vectors, k=5, complete=True)
     own = nearest.join(chunk, ["space", "vec_id"])
     other = chunk.withColumnsRenamed({"vec_id": "other", "chunk_id": "other_chunk_id"})
     return own.join(other, ["space", "other"]).select("space", "vec_id", "chunk_id", "other", "other_chunk_id", F.round("cosine", 6).alias("cosine"), "position")

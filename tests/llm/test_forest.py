@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm.forest import comparable_vectors, nearest_vectors, similar_pairs
+from brindle.llm.queries_vectors import p7_nearest
 
 
 def exact(ids, vectors, k):
@@ -60,3 +61,18 @@ def test_threshold_drops_only_what_is_under_it(spark, least):
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     want = {(i, j) for i, js in exact(list(range(80)), vectors.astype(np.float64), 5).items() for j in js if unit[i] @ unit[j] >= least}
     assert got == want
+
+
+def test_nearest_query_loses_nothing_in_a_space_wider_than_the_forest_reaches(spark, tmp_path):
+    vectors = np.random.default_rng(4).standard_normal((6000, 48)).astype(np.float32)
+    spark.createDataFrame([(i, f"c{i}", "h", v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, chunk_id string, config_hash string, vector array<float>").write.parquet(f"{tmp_path}/chunk_vectors.parquet")
+    spark.createDataFrame([("h", "p", "m", 48)], "config_hash string, provider string, model string, dimensions int").write.parquet(f"{tmp_path}/embedding_configs.parquet")
+    got = {}
+    for r in p7_nearest(spark, str(tmp_path)).collect():
+        got.setdefault(r.vec_id, {})[r.position] = r.other
+    unit = vectors.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T
+    np.fill_diagonal(near, -2)
+    best = np.argsort(-near, axis=1)[:, :5]
+    assert got == {i: {n + 1: int(j) for n, j in enumerate(js)} for i, js in enumerate(best)}
