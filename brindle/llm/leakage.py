@@ -6,7 +6,8 @@
    passages, those of the corpus and those of the evaluation texts, is computed by
    distributed passes: every task adds up its part of ``A'A X``.
 3. In the latent space every passage is compared with every evaluation passage, in
-   blocks; pairs above a cosine are candidates.
+   blocks; pairs above a cosine are candidates. So is every pair that shares the hash of
+   a whole run, whatever its cosine: no run depends on the latent space.
 4. Candidates are checked on the words themselves: longest common run, longest common
    subsequence, and the answer in the text.
 """
@@ -283,6 +284,39 @@ def common_subsequence(text: np.ndarray, item: tuple[int, ...]) -> int:
     return len(item) - row.bit_count()
 
 
+def run_hashes(terms: np.ndarray, run: int) -> np.ndarray:
+    """A hash of every run of ``run`` terms, by its start; equal runs have equal hashes."""
+    size = max(0, len(terms) - run + 1)
+    found = np.zeros(size, dtype=np.uint64)
+    for n in range(run):
+        found = found * np.uint64(0x9E3779B97F4A7C15) + (terms[n : n + size] + 2).astype(np.uint64)
+    return found
+
+
+def item_runs(items: list[Item], unspaced: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of the items of a kind, sorted, and the item of each."""
+    run = shape(unspaced)[2]
+    own = [(n, run_hashes(np.array(item.terms, dtype=np.int64), run)) for n, item in enumerate(items) if item.unspaced == unspaced]
+    hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *(h for _, h in own)])
+    owners = np.concatenate([np.zeros(0, dtype=np.int64), *(np.full(len(h), n) for n, h in own)])
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], owners[order]
+
+
+def shared_runs(terms: np.ndarray, unspaced: bool, runs: tuple[np.ndarray, np.ndarray]) -> dict[int, set[int]]:
+    """Items that share a whole run with the text, by the start of the passage that holds it."""
+    _, step, run = shape(unspaced)
+    hashes, owners = runs
+    own = run_hashes(terms, run)
+    low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+    found: dict[int, set[int]] = {}
+    for at in np.flatnonzero(high > low):
+        # The last passage starts a step before the end of the text or earlier.
+        start = min(at // step, (max(1, len(terms) - step) - 1) // step) * step
+        found.setdefault(int(start), set()).update(owners[low[at] : high[at]].tolist())
+    return found
+
+
 def _candidates(block: Block, basis: np.ndarray, idf: np.ndarray, least: float) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, owners = item_passages(block.items)
@@ -290,13 +324,22 @@ def _candidates(block: Block, basis: np.ndarray, idf: np.ndarray, least: float)
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
         starts = np.flatnonzero(np.diff(owners, prepend=-1))
         unspaced_items = np.array([block.items[n].unspaced for n in owners[starts]])
+        column_of = {int(n): column for column, n in enumerate(owners[starts])}
+        runs = {kind: item_runs(block.items, kind) for kind in (False, True)}
+        last, shared = None, {}
         for chunk in _chunks(batches):
             vectors = _times(*_sparse([c[3] for c in chunk], idf), basis)
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
             best = np.maximum.reduceat(vectors @ latent.T, starts, axis=1)
             kind = np.array([c[1] for c in chunk], dtype=bool)
+            chosen = (best >= least) & (kind[:, None] == unspaced_items[None, :])
+            for at, (_, unspaced, start, _, terms) in enumerate(chunk):
+                if terms is not last:
+                    last, shared = terms, shared_runs(np.asarray(terms), unspaced, runs[unspaced])
+                for n in shared.get(start, ()):
+                    chosen[at, column_of[n]] = True
             rows = []
-            for at, column in zip(*np.nonzero((best >= least) & (kind[:, None] == unspaced_items[None, :]))):
+            for at, column in zip(*np.nonzero(chosen)):
                 doc, unspaced, start, _, terms = chunk[at]
                 item = block.items[owners[starts[column]]]
                 width, step, need = shape(unspaced)

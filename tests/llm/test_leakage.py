@@ -83,3 +83,9 @@ def test_empty_tables(spark):
     documents, wanted = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
     assert leaked_items(documents.limit(0), wanted).count() == 0
     assert leaked_items(documents, wanted.limit(0)).count() == 0
+
+
+def test_whole_runs_do_not_depend_on_the_cosine(spark):
+    docs, items = make(2)
+    pairs = leaked_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), least=1.01)
+    assert {(r.doc_id, r.item_id) for r in pairs.filter("leaked").collect()} == brute(docs, items)
