@@ -37,6 +37,9 @@ LIBRARY_HEADER = r"""(?xi)
 JSON_LIBRARY = r"""^\s*\{\s*["']name["']\s*:\s*["'](?<lib>[^"']+)["']\s*,\s*["']version["']\s*:\s*["'][^"']*["']\s*,\s*["']license["']"""
 #: Comment markers that a header line may start with.
 COMMENT = r"^\s*(?:#|//|/\*|\*|<!--|\{?\s*\"_comment\"|--|;|%|'''|\"\"\")"
+#: What opens a block comment or a docstring, and what ends it if not the same.
+BLOCK_OPEN = r"^\s*[rRuUbB]{0,2}(/\*|<!--|\'\'\'|\"\"\")"
+_BLOCK_END = {"/*": "*/", "<!--": "-->"}
 
 #: Thresholds per language: minified below ``space`` with a mean line above ``line``;
 #: data above ``digits`` (share of the text in numeric literals) or ``encoded`` (share
@@ -52,7 +55,8 @@ THRESHOLDS = {
     "xml": {"space": 0.06, "line": 200, "repeat": 2},
 }
 
-_GENERATED, _LIBRARY, _JSON_LIBRARY, _COMMENT = (regex.compile(p) for p in (GENERATED_HEADER, LIBRARY_HEADER, JSON_LIBRARY, COMMENT))
+_GENERATED, _LIBRARY, _JSON_LIBRARY, _COMMENT, _BLOCK_OPEN = (regex.compile(p) for p in (GENERATED_HEADER, LIBRARY_HEADER, JSON_LIBRARY, COMMENT, BLOCK_OPEN))
+_LINE = regex.compile(r"[^\n]+")
 _STRING = regex.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 _NUMBER = regex.compile(r"(?<![\w.])[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)[a-zA-Z]?\b")
 _WORD = regex.compile(r"[\p{L}_$][\p{L}\p{M}\p{N}_$]*")
@@ -72,14 +76,28 @@ def _mixed(run: str) -> bool:
     return any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and len(set(run)) > 9
 
 
-def header_lines(text: str, most: int = 12) -> list[str]:
-    """The comment lines before the first line of code."""
-    found = []
-    for line in text.split("\n")[:most]:
-        if _COMMENT.match(line):
-            found.append(line)
-        elif line.strip() and not line.startswith(("package", "<?xml", "<?", "#!", "'use strict'", '"use strict"')):
-            break
+def header_lines(text: str) -> list[str]:
+    """The comment lines before the first line of code, however many; a block comment or
+    a docstring counts up to its end, with or without markers on its lines."""
+    found, end = [], None
+    for m in _LINE.finditer(text):
+        line = rest = m.group()
+        if end is None and not _COMMENT.match(line) and not _BLOCK_OPEN.match(line):
+            if line.strip() and not line.startswith(("package", "<?xml", "<?", "#!", "'use strict'", '"use strict"')):
+                break
+            continue
+        found.append(line)
+        while True:
+            if end is not None:
+                if end not in rest:
+                    break
+                rest, end = rest[rest.index(end) + len(end) :], None
+                # Code behind a comment on its line is the first line of code.
+                if rest.strip() and not _COMMENT.match(rest):
+                    return found
+            if not (opened := _BLOCK_OPEN.match(rest)):
+                break
+            end, rest = _BLOCK_END.get(opened.group(1), opened.group(1)), rest[opened.end() :]
     return found
 
 
