@@ -129,15 +129,67 @@ _NUMBERED = regex.compile(r"\s*(\d{1,4})[.)]\s+\S")
 #: Where a unit may end: after a mark and what closes with it, before a blank or a letter.
 _CANDIDATE = regex.compile(rf"(?:[.!?…]+|[。！？｡]+|[।॥؟۔]+|;)(?:[   ]?[»]|{CLOSERS})*")
 _THAI_BLANK = regex.compile(r"(?<=\p{Thai})\s+(?=\p{Thai})")
-#: Quotes and brackets inside a sentence are short; what is longer is no such thing.
-_QUOTED = regex.compile(
-    r"\((?:[^()]|\([^()]{0,200}\)){0,400}\)|（[^（）]{0,400}）|\[[^\[\]]{0,400}\]|【[^【】]{0,400}】|「[^「」]{0,400}」|『[^『』]{0,400}』"
-    r"|„[^„“”]{0,400}[“”]|“[^“”]{0,400}”|«[^«»]{0,400}»|‹[^‹›]{0,400}›"
-    r"|(?<![\p{L}\p{N}\"])\"(?=\S)[^\"]{0,400}(?<=\S)\"|`[^`\n]{0,400}`"
-    # what is opened shortly before the end and never closed
-    r"|[(（][^()（）]{0,90}\Z|[“„«「][^“”„«»「」]{0,90}\Z|(?<![\p{L}\p{N}\"])\"(?=\S)[^\"]{0,90}\Z",
-    regex.V1,
-)
+#: Marks that open and close what stands inside a sentence, of any length; `„` has two ends.
+_PAIRS = {"(": ")", "（": "）", "[": "]", "【": "】", "「": "」", "『": "』", "„": "“”", "“": "”", "«": "»", "‹": "›"}
+_MARK = regex.compile(r"[()（）\[\]【】「」『』„“”«»‹›\"`]")
+_WORD_BEFORE = regex.compile(r"[\p{L}\p{N}\"]")
+#: What is opened so shortly before the end and never closed is a quotation all the same.
+UNCLOSED = 90
+
+
+def quoted_spans(body: str) -> list[tuple[int, int]]:
+    """Outermost quotes and brackets of a paragraph, in order: one scan with a stack.
+
+    A closing mark closes the last one of its kind that is open; what was opened since
+    and never closed is no bracket. A straight quote opens before a letter or mark and not
+    after a word; a backquote ends with its line."""
+    stack: list[tuple[str, int]] = []  # closing marks wanted, place
+    waiting: dict[str, int] = {}  # how often each closing mark is wanted
+    spans: list[tuple[int, int]] = []
+
+    def close(mark: str, end: int) -> None:
+        while True:
+            wanted, at = stack.pop()
+            for c in wanted:
+                waiting[c] -= 1
+            if mark in wanted:
+                break
+        while spans and spans[-1][0] > at:
+            spans.pop()
+        spans.append((at, end))
+
+    def push(wanted: str, at: int) -> None:
+        stack.append((wanted, at))
+        for c in wanted:
+            waiting[c] = waiting.get(c, 0) + 1
+
+    past = 0  # the end of the last code between backquotes
+    for m in _MARK.finditer(body):
+        mark, at = m.group(), m.start()
+        if at < past:
+            continue
+        if mark == "`":
+            line = body.find("\n", at)
+            end = body.find("`", at + 1, line if line >= 0 else len(body))
+            if end >= 0:
+                past = end + 1
+                spans.append((at, past))
+            continue
+        blank_before, blank_after = at == 0 or body[at - 1].isspace(), at + 1 >= len(body) or body[at + 1].isspace()
+        if waiting.get(mark) and not (mark == '"' and blank_before):
+            close(mark, at + 1)
+        elif mark in _PAIRS:
+            push(_PAIRS[mark], at)
+        elif mark == '"' and not blank_after and not (at and _WORD_BEFORE.match(body, at - 1)):
+            push(mark, at)
+    open_at = min((at for wanted, at in stack if wanted in (")", "）", "“”", "”", "»", "」", '"') and len(body) - at - 1 <= UNCLOSED), default=None)
+    if open_at is not None:
+        while spans and spans[-1][0] > open_at:
+            spans.pop()
+        spans.append((open_at, len(body)))
+    return spans
+
+
 _SCRIPTS = {name: regex.compile(rf"\p{{Script={name}}}") for name in BY_SCRIPT}
 
 
@@ -182,7 +234,7 @@ def _running(text: str, start: int, end: int, language: str | None) -> Iterator[
     for name in scripts:
         languages.update(dict.fromkeys(BY_SCRIPT[name]))
     rules = rule_tables(tuple(languages))
-    quoted = [(m.start(), m.end()) for m in _QUOTED.finditer(body)]
+    quoted = quoted_spans(body)
     opened = [low for low, _ in quoted]
     ends = {m.start() for m in _THAI_BLANK.finditer(body)}
     for m in _CANDIDATE.finditer(body):

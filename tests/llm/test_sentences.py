@@ -50,3 +50,10 @@ def test_operator(spark):
     got = sorted((r.doc_id or 0, r.unit, r.start_pos, r.end_pos, r.sentence) for r in sentence_units(df).collect())
     assert got == [(0, 0, 0, 6, "Three."), (1, 0, 0, 4, "One."), (1, 0, 0, 4, "One."), (1, 1, 5, 9, "Two."), (1, 1, 5, 9, "Two.")]
     assert sentence_units(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("left,right", ["()", "[]", "「」", "„“", "“”", "«»", '""', ("((", "))")])
+def test_quotes_and_brackets_of_any_length(left, right):
+    inside = "One more ends here. " * 60 + "Last."
+    text = f"They wrote {left}{inside}{right} and left."
+    assert units(text + " Nobody knew.", "en") == [text, "Nobody knew."]
