@@ -12,7 +12,7 @@ number seen), and commits the merged intervals together with its output.
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ from brindle.functions.intervals import (
     points_to_intervals,
     subtract_intervals,
 )
+from brindle.session import cut_lineage
+from brindle.sources.commits import CommitLog, KeyedTable
 
 KEY = ["repo_key", "path"]
 
@@ -91,85 +93,98 @@ def replay_runs(observations: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+STATE = f"repo_key string, path string, processed {INTERVALS}, observation_generation bigint, state string"
+OUTPUT = f"run_id bigint, repo_key string, path string, sha256 string, observation_generation bigint, gap {INTERVALS}"
+
+
 class IntervalLedger:
     """Run-by-run processing with state on a shared file system.
 
-    Version ``n`` of the state is the folder ``v{n}`` with the tables ``state`` (per
-    file: intervals processed, highest number, its state) and ``output`` (the files
-    to process). Both are written before the small file ``commits/{n}.json``, made
-    with create-if-absent, names them: a run that dies earlier leaves nothing that a
-    later run reads, so rows are neither skipped nor repeated.
+    A version of the log names the state (per file: intervals processed, highest number,
+    its state; in hash buckets of which a run rewrites only those it touches) and the
+    output of its run. Both are committed by one file: a run that dies earlier leaves
+    nothing that a later run reads, and a run that loses the race against another writer
+    is computed again over that writer's state, so rows are neither skipped nor repeated.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        self.spark, self.log = spark, CommitLog(spark, folder)
+        self._state = KeyedTable(self.log, "state", STATE, KEY, buckets)
 
     def version(self) -> int:
         """The last committed version, 0 before the first run."""
-        commits = self._path(f"{self.folder}/commits")
-        if not self._fs.exists(commits):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(commits)]
-        return max((int(n[:-5]) for n in names if n.endswith(".json")), default=0)
+        return self.log.version()
 
     def state(self) -> DataFrame:
-        version = self.version()
-        if version == 0:
-            return self.spark.createDataFrame([], f"repo_key string, path string, processed {INTERVALS}, observation_generation bigint, state string")
-        return self.spark.read.parquet(f"{self.folder}/v{version}/state")
+        return self._state.read(self.log.read(self.log.version()))
 
     def output(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/v{version}/output")
+        return self.spark.read.schema(OUTPUT).parquet(f"{self.log.folder}/{self.log.read(version)['output']}")
+
+    def outputs(self) -> DataFrame:
+        """The output of all runs."""
+        paths = [f"{self.log.folder}/{self.log.read(v)['output']}" for v in range(1, self.log.version() + 1)]
+        return self.spark.read.schema(OUTPUT).parquet(*paths) if paths else self.spark.createDataFrame([], OUTPUT)
 
-    def run(self, observations: DataFrame, run_id: int, repo_key: str, started_at, fail_before_commit: bool = False) -> DataFrame:
+    def run(self, observations: DataFrame, run_id: int, repo_key: str, started_at, before_commit: Callable[[], None] | None = None) -> DataFrame:
         """Process what is new for ``repo_key`` at ``started_at``; returns the files to process."""
-        version = self.version() + 1
-        old = self.state().withColumnsRenamed({"observation_generation": "old_generation", "state": "old_state"})
+        return self.step(observations, self.spark.createDataFrame([(run_id, repo_key, started_at)], "run_id bigint, repo_key string, started_at timestamp"), before_commit)
+
+    def step(self, observations: DataFrame, runs: DataFrame, before_commit: Callable[[], None] | None = None) -> DataFrame:
+        """Process one run (``run_id, started_at``) of each ``repo_key`` in ``runs`` and commit
+        them together; returns the files to process. ``before_commit`` is called between
+        writing and committing."""
+        asked = runs.select("run_id", "repo_key", "started_at")
         rows = (
-            observations.filter((F.col("repo_key") == repo_key) & (F.col("received_at") <= F.lit(started_at)))
-            .select(*KEY, "observation_generation", content_state().alias("state"))
+            observations.select(*KEY, "observation_generation", "received_at", content_state().alias("state"))
             .dropna(subset=[*KEY, "observation_generation"])
+            .join(asked, "repo_key")
+            .filter(F.col("received_at") <= F.col("started_at"))
+            .select("run_id", *KEY, "observation_generation", "state")
             .distinct()
         )
-        # Rows of numbers that are already processed fall out before they are grouped.
-        fresh = rows.join(old.select(*KEY, "processed"), KEY, "left").filter(~in_intervals(F.col("observation_generation"), F.col("processed")))
-        gaps = fresh.groupBy(*KEY).agg(
-            F.max(F.struct("observation_generation", "state")).alias("best"),
-            points_to_intervals(F.collect_set("observation_generation")).alias("gap"),
-        )
-        had = F.col("processed").isNotNull()
-        newer = ~had | (F.col("best.observation_generation") > F.col("old_generation"))
-        merged = (
-            old.join(gaps, KEY, "full_outer")
-            .withColumn("moved", F.col("gap").isNotNull() & newer)
-            .withColumn("changed", F.col("moved") & (~had | ~F.col("best.state").eqNullSafe(F.col("old_state"))))
-            .select(
+
+        def work(version: int, content: dict) -> dict:
+            # Rows of numbers that are already processed fall out before they are grouped.
+            processed = self._state.read(content).join(asked.select("repo_key"), "repo_key", "left_semi").select(*KEY, "processed")
+            fresh = rows.join(processed, KEY, "left").filter(~in_intervals(F.col("observation_generation"), F.col("processed")))
+            gaps = cut_lineage(
+                fresh.groupBy("run_id", *KEY).agg(
+                    F.max(F.struct("observation_generation", "state")).alias("best"),
+                    points_to_intervals(F.collect_set("observation_generation")).alias("gap"),
+                )
+            )
+            touched = self._state.touched(gaps)
+            old = self._state.read(content, touched).withColumnsRenamed({"observation_generation": "old_generation", "state": "old_state"})
+            had = F.col("processed").isNotNull()
+            newer = ~had | (F.col("best.observation_generation") > F.col("old_generation"))
+            merged = (
+                old.join(gaps, KEY, "full_outer")
+                .withColumn("moved", F.col("gap").isNotNull() & newer)
+                .withColumn("changed", F.col("moved") & (~had | ~F.col("best.state").eqNullSafe(F.col("old_state"))))
+            )
+            home = self.log.new_folder()
+            merged.filter("changed").select(
+                "run_id", *KEY, F.col("best.state").alias("sha256"), F.col("best.observation_generation").alias("observation_generation"), "gap"
+            ).write.parquet(f"{self.log.folder}/{home}/output")
+            state = merged.select(
                 *KEY,
                 merge_intervals(F.concat(F.coalesce("processed", empty_intervals()), F.coalesce("gap", empty_intervals()))).alias("processed"),
                 F.when(F.col("moved"), F.col("best.observation_generation")).otherwise(F.col("old_generation")).alias("observation_generation"),
                 F.when(F.col("moved"), F.col("best.state")).otherwise(F.col("old_state")).alias("state"),
-                F.coalesce("gap", empty_intervals()).alias("gap"),
-                "changed",
             )
-        )
-        home = f"{self.folder}/v{version}"
-        merged.write.mode("overwrite").parquet(f"{home}/merged")
-        merged = self.spark.read.parquet(f"{home}/merged")
-        merged.drop("gap", "changed").write.mode("overwrite").parquet(f"{home}/state")
-        merged.filter("changed").select(F.lit(run_id).cast("bigint").alias("run_id"), *KEY, F.col("state").alias("sha256"), "observation_generation", "gap").write.mode("overwrite").parquet(f"{home}/output")
-        self._fs.delete(self._path(f"{home}/merged"), True)
-        if fail_before_commit:
-            raise RuntimeError("stopped before the commit")
-        self._commit(version, run_id)
+            return self._state.write(state, content, touched, home) | {"output": f"{home}/output"}
+
+        version, _ = self.log.change(work, before_commit=before_commit)
         return self.output(version)
 
-    def _commit(self, version: int, run_id: int) -> None:
-        """Create-if-absent: of two writers of one version the second gets an error."""
-        out = self._fs.create(self._path(f"{self.folder}/commits/{version}.json"), False)
-        try:
-            out.write(bytearray(json.dumps({"version": version, "run_id": run_id}).encode()))
-        finally:
-            out.close()
+
+def replay_ledger(ledger: IntervalLedger, observations: DataFrame, runs: DataFrame) -> DataFrame:
+    """All succeeded runs through the ledger: a step takes the next run of every
+    repository. Steps are as many as a repository has runs."""
+    wanted = runs.filter((F.col("status") == "succeeded") & F.col("started_at").isNotNull() & F.col("run_id").isNotNull() & F.col("repo_key").isNotNull())
+    turns = wanted.select("run_id", "repo_key", "started_at", F.row_number().over(Window.partitionBy("repo_key").orderBy("started_at", "run_id")).alias("turn"))
+    turns = cut_lineage(turns)
+    for turn in range(1, (turns.agg(F.max("turn")).first()[0] or 0) + 1):
+        ledger.step(observations, turns.filter(F.col("turn") == turn))
+    return ledger.outputs()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators.incremental import replay_runs
-from brindle.operators.orphans import orphan_counts, orphan_references
+from brindle.operators.incremental import IntervalLedger, replay_ledger, replay_runs
+from brindle.operators.orphans import OrphanLedger, orphan_counts, orphan_references, replay_orphans
+from brindle.session import shared_folder
 from brindle.sources.tables import table
 
 
@@ -32,6 +35,22 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphan_counts(_orphans(spark, d))
 
 
+def _ledger_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def p5_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The cases of p5_found from the ledger on disk, run by run."""
+    ledger = IntervalLedger(spark, _ledger_folder(spark, "intervals"), buckets=8)
+    return replay_ledger(ledger, table(spark, d, "source_observations"), table(spark, d, "index_runs")).select("run_id", "path").distinct()
+
+
+def p6_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The cases of p6_found from the ledger on disk, one batch per month."""
+    ledger = OrphanLedger(spark, _ledger_folder(spark, "orphans"), buckets=8)
+    return replay_orphans(ledger, table(spark, d, "code_relations"), table(spark, d, "code_signals")).select("relation_id", "side").distinct()
+
+
 P5_CASES = """
 WITH runs AS (SELECT run_id, repo_key, started_at FROM index_runs WHERE status = 'succeeded' AND started_at IS NOT NULL),
 known AS (
@@ -60,11 +79,13 @@ orphans AS (
   FROM probed WHERE blank OR first_seen IS NULL OR first_seen > recorded_at GROUP BY ALL)
 """
 
-QUERIES = {"p5_found": p5_found, "p5_run_totals": p5_run_totals, "p6_found": p6_found, "p6_counts": p6_counts}
+QUERIES = {"p5_found": p5_found, "p5_run_totals": p5_run_totals, "p5_ledger": p5_ledger, "p6_found": p6_found, "p6_counts": p6_counts, "p6_ledger": p6_ledger}
 
 ORACLES = {
     "p5_found": P5_CASES + "SELECT run_id, path FROM cases",
     "p5_run_totals": P5_CASES + "SELECT run_id, count(*) AS files FROM cases GROUP BY run_id",
+    "p5_ledger": P5_CASES + "SELECT run_id, path FROM cases",
+    "p6_ledger": P6_CASES + "SELECT relation_id, side FROM orphans",
     "p6_found": P6_CASES + "SELECT relation_id, side FROM orphans",
     "p6_counts": P6_CASES
     + """SELECT 'code_relations.' || side AS table_name, strftime(date_trunc('month', recorded_at), '%Y-%m-%d') AS period,

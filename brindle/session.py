@@ -29,14 +29,24 @@ def local_session(cpus: str | int = "*", app: str = "brindle", **conf: str) -> S
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; only where the cluster
-    names none (local tests) fall back to a temporary folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset, a local session
+    (as in tests) gets a temporary one; a cluster has to name its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="brindle-checkpoint-"))
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return _temporary.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="brindle-checkpoint-"))
+
+
+_temporary: dict[str, str] = {}
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder unless the context already has one."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import json
 import re
 import tomllib
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.commits import CommitLog
+
 # Directories that are never read, and languages by suffix.
 PRUNED = (".git", ".hg", ".svn", "node_modules", "dist", "build", "target", "__pycache__", ".venv", "venv", ".idea")
 LANGUAGES = {
@@ -123,33 +125,26 @@ def result_markdown(rows: DataFrame, most: int = 50) -> str:
 
 
 class Publication:
-    """Tables published together: a version is a folder, and counts once its small commit
-    file, made with create-if-absent, names it."""
+    """Tables published together, as one version of a log: readers see all of a version
+    or nothing of it, and no writer touches the files of another."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.log = spark, CommitLog(spark, folder)
 
     def version(self) -> int:
-        commits = self._path(f"{self.folder}/commits")
-        if not self._fs.exists(commits):
-            return 0
-        return max((int(s.getPath().getName()[:-5]) for s in self._fs.listStatus(commits) if s.getPath().getName().endswith(".json")), default=0)
+        return self.log.version()
 
-    def publish(self, tables: dict[str, DataFrame]) -> int:
-        version = self.version() + 1
+    def publish(self, tables: dict[str, DataFrame], before_commit: Callable[[], None] | None = None) -> int:
+        """Write the tables and commit them; tables of earlier versions that are not among
+        ``tables`` are left out of the new one."""
+        home = self.log.new_folder()
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.folder}/v{version}/{name}")
-        out = self._fs.create(self._path(f"{self.folder}/commits/{version}.json"), False)
-        try:
-            out.write(bytearray(json.dumps(sorted(tables)).encode()))
-        finally:
-            out.close()
+            df.write.parquet(f"{self.log.folder}/{home}/{name}")
+        version, _ = self.log.change(lambda version, content: {name: f"{home}/{name}" for name in sorted(tables)}, before_commit=before_commit)
         return version
 
-    def read(self, name: str) -> DataFrame:
-        version = self.version()
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        version = self.log.version() if version is None else version
         if not version:
             raise FileNotFoundError("nothing is published yet")
-        return self.spark.read.parquet(f"{self.folder}/v{version}/{name}")
+        return self.spark.read.parquet(f"{self.log.folder}/{self.log.read(version)[name]}")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions.intervals import INTERVALS, in_intervals, merge_intervals, points_to_intervals, subtract_intervals
-from brindle.operators.incremental import IntervalLedger, replay_runs
+from brindle.operators.incremental import IntervalLedger, replay_ledger, replay_runs
 
 OBS = "repo_key string, path string, sha256 string, observation_generation bigint, received_at timestamp"
 RUNS = "run_id bigint, repo_key string, status string, started_at timestamp"
@@ -82,18 +82,65 @@ def test_nulls_empty_tables_and_clashing_columns(spark):
     assert replay_runs(spark.createDataFrame([], OBS), spark.createDataFrame([], RUNS)).count() == 0
 
 
+def stop():
+    raise RuntimeError("stopped before the commit")
+
+
 def test_ledger_survives_a_failure_and_late_rows(spark, tmp_path):
     observations, runs = make(7, files=3, generations=4)
     df = spark.createDataFrame(observations, OBS)
-    ledger = IntervalLedger(spark, str(tmp_path / "ledger"))
+    ledger = IntervalLedger(spark, str(tmp_path / "ledger"), buckets=2)
     found, failed = set(), False
     for run, repo, status, start in sorted(runs, key=lambda r: (r[3], r[0])):
         if status != "succeeded":
             continue
         if not failed:
             with pytest.raises(RuntimeError):
-                ledger.run(df, run, repo, start, fail_before_commit=True)
+                ledger.run(df, run, repo, start, before_commit=stop)
             failed = True
             assert ledger.version() == 0
         found |= {(r.run_id, r.path) for r in ledger.run(df, run, repo, start).collect()}
     assert found == brute(observations, runs)
+
+
+def test_replay_through_the_ledger_equals_the_definition(spark, tmp_path):
+    observations, runs = make(5, files=3, generations=4)
+    ledger = IntervalLedger(spark, str(tmp_path / "ledger"), buckets=2)
+    found = replay_ledger(ledger, spark.createDataFrame(observations, OBS), spark.createDataFrame(runs, RUNS))
+    assert {(r.run_id, r.path) for r in found.collect()} == brute(observations, runs)
+
+
+def test_two_writers_lose_and_repeat_nothing(spark, tmp_path):
+    rows = [("a", "f1", "x", 1, day(1)), ("a", "f2", "y", 1, day(1)), ("b", "f3", "z", 1, day(1)), ("a", "f1", "w", 2, day(3))]
+    df = spark.createDataFrame(rows, OBS)
+    folder = str(tmp_path / "ledger")
+    first, second = IntervalLedger(spark, folder, buckets=2), IntervalLedger(spark, folder, buckets=2)
+    done = []
+
+    def other():
+        # Another writer commits between this one's read and its commit, once.
+        if not done:
+            done.append(1)
+            second.run(df, 2, "b", day(2))
+
+    out = first.run(df, 1, "a", day(2), before_commit=other)
+    assert {(r.run_id, r.path) for r in out.collect()} == {(1, "f1"), (1, "f2")}
+    assert first.version() == 2
+    assert sorted((r.run_id, r.path) for r in first.outputs().collect()) == [(1, "f1"), (1, "f2"), (2, "f3")]
+    # The same run by two writers: what the other has committed is not given out again.
+    done.clear()
+
+    def same():
+        if not done:
+            done.append(1)
+            second.run(df, 3, "a", day(4))
+
+    assert first.run(df, 4, "a", day(4), before_commit=same).count() == 0
+    assert sorted((r.run_id, r.path) for r in first.outputs().collect()) == [(1, "f1"), (1, "f2"), (2, "f3"), (3, "f1")]
+    assert {r.path: [tuple(x) for x in r.processed] for r in first.state().collect()} == {"f1": [(1, 2)], "f2": [(1, 1)], "f3": [(1, 1)]}
+    # A writer that dies between writing and committing changes nothing.
+    with pytest.raises(RuntimeError):
+        second.run(df.withColumn("observation_generation", F.lit(9)), 5, "a", day(4), before_commit=stop)
+    assert first.version() == 4 and first.state().count() == 3
+    assert first.log.clean(keep=1, seconds=0) > 0
+    assert first.state().count() == 3
