@@ -28,7 +28,7 @@ def _checked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _checked(spark, d).filter(F.col("edit_cost") > 0).select("file_id")
+    return _checked(spark, d).filter(F.col("least_cost") > 0).select("file_id")
 
 
 def p4_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -36,6 +36,12 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return invalid_rates(_checked(spark, d))
 
 
+def p4_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Invalid files by what is wrong, cost of the repair and whether the cost is proven."""
+    invalid = _checked(spark, d).filter("invalid")
+    return invalid.groupBy("suffix", "diagnosis", "edit_cost", F.coalesce(F.col("edit_cost") == F.col("least_cost"), F.lit(False)).alias("proven")).agg(F.count("*").alias("files"))
+
+
 def p4_hints(spark: SparkSession, d: str) -> DataFrame:
     """How the reasons of skipped scans go with what the texts say."""
     hints = table(spark, d, "scan_skips").select("repo_key", "path", "reason").dropna().distinct()
@@ -43,5 +49,5 @@ def p4_hints(spark: SparkSession, d: str) -> DataFrame:
     return checked.join(hints, ["repo_key", "path"]).groupBy("reason", "diagnosis").agg(F.count("*").alias("files"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_origins": p2_origins, "p4_found": p4_found, "p4_rates": p4_rates, "p4_hints": p4_hints}
+QUERIES = {"p2_found": p2_found, "p2_origins": p2_origins, "p4_found": p4_found, "p4_rates": p4_rates, "p4_costs": p4_costs, "p4_hints": p4_hints}
 ORACLES: dict[str, str] = {}
