@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm.forest import comparable_vectors, nearest_vectors, similar_pairs
+from brindle.llm.forest import ascent_stops, comparable_vectors, nearest_vectors, similar_pairs
 from brindle.llm.queries_vectors import p7_nearest
 
 
@@ -19,7 +19,7 @@ def test_recall_against_brute_force(spark):
     vectors = (centres[rng.integers(0, 60, 1500)] + 0.25 * rng.standard_normal((1500, 24))).astype(np.float32)
     df = spark.createDataFrame([("s", i, 24, v.tolist()) for i, v in enumerate(vectors)], "space string, vec_id bigint, dimensions int, vector array<float>")
     found = {}
-    for r in nearest_vectors(df.withColumn("lead", F.lit(1)), k=5, trees=10, reach=64).collect():
+    for r in nearest_vectors(df.withColumn("lead", F.lit(1)), k=5, trees=10, candidates=640).collect():
         found.setdefault(r.vec_id, set()).add(r.other)
     want = exact(list(range(1500)), vectors.astype(np.float64), 5)
     hits = sum(len(found.get(i, set()) & set(w)) for i, w in want.items())
@@ -63,16 +63,35 @@ def test_threshold_drops_only_what_is_under_it(spark, least):
     assert got == want
 
 
-def test_nearest_query_loses_nothing_in_a_space_wider_than_the_forest_reaches(spark, tmp_path):
+def test_nearest_query_loses_nothing(spark, tmp_path):
     vectors = np.random.default_rng(4).standard_normal((6000, 48)).astype(np.float32)
+    vectors[100:104] = vectors[50]  # copies
     spark.createDataFrame([(i, f"c{i}", "h", v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, chunk_id string, config_hash string, vector array<float>").write.parquet(f"{tmp_path}/chunk_vectors.parquet")
     spark.createDataFrame([("h", "p", "m", 48)], "config_hash string, provider string, model string, dimensions int").write.parquet(f"{tmp_path}/embedding_configs.parquet")
     got = {}
     for r in p7_nearest(spark, str(tmp_path)).collect():
         got.setdefault(r.vec_id, {})[r.position] = r.other
-    unit = vectors.astype(np.float64)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    near = unit @ unit.T
-    np.fill_diagonal(near, -2)
-    best = np.argsort(-near, axis=1)[:, :5]
-    assert got == {i: {n + 1: int(j) for n, j in enumerate(js)} for i, js in enumerate(best)}
+    want = exact(list(range(6000)), vectors.astype(np.float64), 5)
+    assert got == {i: {n + 1: int(j) for n, j in enumerate(want[i])} for i in range(0, 6000, 50)}
+
+
+def test_close_pairs_are_found_where_a_run_is_a_small_part_of_the_space(spark):
+    """Close pairs among many strangers, with 256 candidates of 8,000 vectors."""
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal((8000, 64))
+    vectors[4000:4400] = vectors[:400] + 0.35 * rng.standard_normal((400, 64))
+    vectors = vectors.astype(np.float32)
+    df = spark.createDataFrame([("s", i, 64, v.tolist()) for i, v in enumerate(vectors)], "space string, vec_id bigint, dimensions int, vector array<float>")
+    unit = vectors.astype(np.float64) / np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True)
+    want = {(i, 4000 + i) for i in range(400) if unit[i] @ unit[4000 + i] >= 0.88}
+    got = {(r.vec_id_a, r.vec_id_b) for r in similar_pairs(nearest_vectors(df, k=5, trees=24, candidates=256, least=0.88)).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_ascent_stops_where_all_trees_hold_enough():
+    rng = np.random.default_rng(8)
+    keys = rng.integers(0, 2**63, (500, 3), dtype=np.int64)
+    stops = ascent_stops(keys, np.sort(keys, axis=0), 1.0, 60)
+    for row in range(0, 500, 25):
+        held = [sum(int(((keys[:, t] >> (63 - level)) == (keys[row, t] >> (63 - level))).sum()) for t in range(3)) for level in (stops[row], stops[row] + 1)]
+        assert held[0] >= 60 > held[1] or stops[row] > 8
