@@ -5,15 +5,17 @@
 2. TF-IDF weights use passage counts over the whole corpus. A randomised SVD of all
    passages, those of the corpus and those of the evaluation texts, is computed by
    distributed passes: every task adds up its part of ``A'A X``.
-3. In the latent space every passage is compared with every evaluation passage, in
-   blocks; pairs above a cosine are candidates. So is every pair that shares the hash of
-   a whole run, whatever its cosine: no run depends on the latent space.
+3. In the latent space, one for all evaluation texts, every passage is compared with the
+   windows of the evaluation texts, some texts at a time; pairs above a cosine are
+   candidates. So is every pair that shares the hash of a whole run, whatever its cosine:
+   no run depends on the latent space.
 4. Candidates are checked on the words themselves: longest common run, longest common
    subsequence, and the answer in the text.
 """
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -33,9 +35,12 @@ RUN_WORDS, RUN_LETTERS = 12, 20
 WORD_WIDTH, LETTER_WIDTH = 2 * RUN_WORDS, 2 * RUN_LETTERS
 #: Letters are compared by overlapping groups of three.
 GRAM = 3
-#: Evaluation texts per pass over the corpus; more are taken in further passes.
+#: Evaluation texts that one pass over the corpus is compared with; more are taken in
+#: further passes over the same space.
 BLOCK_ITEMS = 2000
 RANK = 128
+#: Rows of sums added by one task, and bytes of one row.
+FAN, SLICE_BYTES = 32, 4 << 20
 
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _INVISIBLE = regex.compile(r"[\p{Cf}͏ᅟᅠ឴឵᠋-᠏︀-️]+")
@@ -66,7 +71,7 @@ class Item:
 
 @dataclass
 class Block:
-    """A block of evaluation texts as sequences over their own vocabulary."""
+    """Evaluation texts as sequences over their own vocabulary."""
 
     items: list[Item]
     vocabulary: dict[str, int]  # words as they are, groups of letters with a leading blank
@@ -146,23 +151,34 @@ def _document_counts(size: int) -> Callable:
                 for _, part in passages(terms, unspaced):
                     counts[np.unique(part)] += 1
                     counts[size] += 1
-        yield pd.DataFrame({"slice": [0], "part": [counts.tobytes()]})
+        for n, part in enumerate(np.array_split(counts, _slices(counts))):
+            yield pd.DataFrame({"slice": [n], "part": [part.tobytes()]})
 
     return run
 
 
-def _added(parts: DataFrame, slices: int) -> bytes:
-    """Sums of byte rows per slice, added by the executors; only the sums reach the driver."""
+def _slices(total: np.ndarray) -> int:
+    return max(1, min(len(total), total.nbytes // SLICE_BYTES))
+
+
+def _added(parts: DataFrame) -> bytes:
+    """Sums of byte rows per slice, added by the executors in a tree: no task adds more
+    than ``FAN`` rows of one slice; only the sums reach the driver."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.frombuffer(pdf["part"].iloc[0], dtype=np.float64).copy()
         for part in pdf["part"].iloc[1:]:
             total += np.frombuffer(part, dtype=np.float64)
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "part": [total.tobytes()]})
+        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "branch": [pdf["branch"].iloc[0] // FAN], "part": [total.tobytes()]})
 
-    rows = parts.groupBy("slice").applyInPandas(add, "slice int, part binary").collect()
-    by_slice = {r["slice"]: bytes(r["part"]) for r in rows}
-    return b"".join(by_slice[s] for s in range(slices)) if by_slice else b""
+    held = parts.rdd.getNumPartitions()
+    rows = parts.withColumn("branch", F.floor(F.spark_partition_id() / FAN).cast("int"))
+    while True:
+        rows = rows.groupBy("slice", "branch").applyInPandas(add, "slice int, branch int, part binary")
+        held = -(-held // FAN)
+        if held <= 1:
+            break
+    return b"".join(bytes(r["part"]) for r in rows.orderBy("slice").toLocalIterator())
 
 
 def _sparse(parts: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,37 +211,40 @@ def _chunks(batches: Iterator[pd.DataFrame], size: int = 1500) -> Iterator[list[
     held: list[tuple] = []
     for batch in batches:
         for doc, unspaced, terms in zip(batch["doc_id"], batch["unspaced"], batch["terms"]):
-            held.extend((doc, unspaced, start, part, terms) for start, part in passages(terms, unspaced))
-            while len(held) >= size:
-                yield held[:size]
-                held = held[size:]
+            for start, part in passages(terms, unspaced):
+                held.append((doc, unspaced, start, part, terms))
+                if len(held) == size:
+                    yield held
+                    held = []
     if held:
         yield held
 
 
-def _gram_product(right: np.ndarray, idf: np.ndarray, slices: int) -> Callable:
+def _gram_product(right: np.ndarray, idf: np.ndarray) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(right.shape, dtype=np.float64)
         for chunk in _chunks(batches):
             sparse = _sparse([c[3] for c in chunk], idf)
             _add_transposed(total, *sparse, _times(*sparse, right))
-        for n, part in enumerate(np.array_split(total, slices)):
+        for n, part in enumerate(np.array_split(total, _slices(total))):
             yield pd.DataFrame({"slice": [n], "part": [part.tobytes()]})
 
     return run
 
 
 def item_passages(items: list[Item]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Windows of one run over the evaluation texts, a third of a run apart, and the item of each."""
+    """Windows over the evaluation texts and the item of each: of one run, a third of a run
+    apart, for quotations, and of the width of a passage, half a run apart, for paraphrases."""
     parts, owners = [], []
     for n, item in enumerate(items):
-        run = shape(item.unspaced)[2]
+        width, _, run = shape(item.unspaced)
         terms = np.array(item.terms, dtype=np.int64)
-        last = max(0, len(terms) - run)
-        for start in sorted({*range(0, last + 1, max(1, run // 3)), last}):
-            if len(part := terms[start : start + run]):
-                parts.append(part)
-                owners.append(n)
+        for size, step in ((run, max(1, run // 3)), (width, max(1, run // 2))):
+            last = max(0, len(terms) - size)
+            for start in sorted({*range(0, last + 1, step), last}):
+                if len(part := terms[start : start + size]):
+                    parts.append(part)
+                    owners.append(n)
     return parts, np.array(owners, dtype=np.int64)
 
 
@@ -238,13 +257,11 @@ def latent_space(sequences: DataFrame, own: list[np.ndarray], idf: np.ndarray, c
     wide = min(rank + 8, size)
     sparse = _sparse(own, idf)
     share = max(1.0, corpus_passages / len(own))
-    slices = max(1, min(16, size))
-    tasks = sequences.sparkSession.sparkContext.defaultParallelism * 4
 
     def product(right: np.ndarray) -> np.ndarray:
         right = right.astype(np.float32)
-        parts = sequences.coalesce(tasks).mapInPandas(_gram_product(right, idf, slices), "slice int, part binary")
-        total = np.frombuffer(_added(parts, slices), dtype=np.float64).reshape(-1, wide).copy() if corpus_passages else np.zeros((size, wide))
+        parts = sequences.mapInPandas(_gram_product(right, idf), "slice int, part binary")
+        total = np.frombuffer(_added(parts), dtype=np.float64).reshape(-1, wide).copy() if corpus_passages else np.zeros((size, wide))
         mine = np.zeros((size, wide))
         _add_transposed(mine, *sparse, _times(*sparse, right))
         return total + share * mine
@@ -317,44 +334,50 @@ def shared_runs(terms: np.ndarray, unspaced: bool, runs: tuple[np.ndarray, np.nd
     return found
 
 
-def _candidates(block: Block, basis: np.ndarray, idf: np.ndarray, least: float) -> Callable:
+def _candidates(items: list[Item], basis: np.ndarray, idf: np.ndarray, least: float) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, owners = item_passages(block.items)
+        own, owners = item_passages(items)
         latent = _times(*_sparse(own, idf), basis)
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-        starts = np.flatnonzero(np.diff(owners, prepend=-1))
-        unspaced_items = np.array([block.items[n].unspaced for n in owners[starts]])
-        column_of = {int(n): column for column, n in enumerate(owners[starts])}
-        runs = {kind: item_runs(block.items, kind) for kind in (False, True)}
+        latent = latent.T.copy()
+        unspaced_windows = np.array([items[n].unspaced for n in owners])
+        runs = {kind: item_runs(items, kind) for kind in (False, True)}
         last, shared = None, {}
         for chunk in _chunks(batches):
             vectors = _times(*_sparse([c[3] for c in chunk], idf), basis)
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-            best = np.maximum.reduceat(vectors @ latent.T, starts, axis=1)
+            near = vectors @ latent
             kind = np.array([c[1] for c in chunk], dtype=bool)
-            chosen = (best >= least) & (kind[:, None] == unspaced_items[None, :])
-            for at, (_, unspaced, start, _, terms) in enumerate(chunk):
+            chosen: dict[tuple[int, int], float] = {}
+            at, window = np.nonzero(near >= least)
+            same = kind[at] == unspaced_windows[window]
+            at, window = at[same], window[same]
+            for place, n, cosine in zip(at.tolist(), owners[window].tolist(), near[at, window].tolist()):
+                if cosine > chosen.get((place, n), -2):
+                    chosen[(place, n)] = cosine
+            for place, (_, unspaced, start, _, terms) in enumerate(chunk):
                 if terms is not last:
                     last, shared = terms, shared_runs(np.asarray(terms), unspaced, runs[unspaced])
                 for n in shared.get(start, ()):
-                    chosen[at, column_of[n]] = True
+                    if (place, n) not in chosen:
+                        chosen[(place, n)] = float(near[place, owners == n].max())
             rows = []
-            for at, column in zip(*np.nonzero(chosen)):
-                doc, unspaced, start, _, terms = chunk[at]
-                item = block.items[owners[starts[column]]]
+            for (place, n), cosine in chosen.items():
+                doc, unspaced, start, _, terms = chunk[place]
+                item = items[n]
                 width, step, need = shape(unspaced)
                 # The passage and the one beside it: a run goes on into it.
-                near = terms[max(0, start - step) : start + width + step]
-                run_length = longest_run(near, item.terms)
-                common = common_subsequence(near, item.terms)
+                around = terms[max(0, start - step) : start + width + step]
+                run_length = longest_run(around, item.terms)
+                common = common_subsequence(around, item.terms)
                 extra = GRAM - 1 if unspaced and run_length else 0
-                rows.append((doc, item.item_id, float(best[at, column]), run_length + extra, run_length >= need, common / len(item.terms)))
+                rows.append((doc, item.item_id, cosine, run_length + extra, run_length >= need, common / len(item.terms)))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "longest_run", "leaked", "common_share"])
 
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, least: float = 0.6, rank: int = RANK) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, least: float = 0.6, rank: int = RANK, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """Candidate pairs with their checks: ``doc_id, item_id, cosine, longest_run, leaked,
     common_share, passages``.
 
@@ -366,29 +389,28 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: float = 0.6, ran
 
     Null, blank and short texts and prompts give no rows; repeated items of one id count
     once, repeated documents give their pairs once; empty tables give no rows. The items
-    are the stated query set: they are read to the driver and taken in blocks of
-    ``BLOCK_ITEMS``, each with its own passes over the corpus, so what is sent to a task
-    is bounded. Of the corpus only sums per evaluation term reach the driver.
+    are the stated query set: they are read to the driver, and a task holds their
+    vocabulary and latent space whole and ``BLOCK_ITEMS`` of them at a time, so neither
+    results nor candidates depend on the size of a block. Of the corpus only sums per
+    evaluation term reach the driver. Building the result runs the passes of the space.
     """
     spark = documents.sparkSession
     rows = items.select("item_id", "lang", "prompt", "answer").dropna(subset=["item_id", "prompt"]).dropDuplicates(["item_id"]).orderBy("item_id").toLocalIterator()
-    found, held = None, []
-
-    def take(held: list[tuple]) -> None:
-        nonlocal found
-        one = _leaked_in_block(documents, make_block(held), least, rank)
-        if one is not None:
-            found = one if found is None else found.unionByName(one)
-
-    for row in rows:
-        held.append(tuple(row))
-        if len(held) == BLOCK_ITEMS:
-            take(held)
-            held = []
-    if held:
-        take(held)
-    if found is None:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, cosine double, longest_run bigint, leaked boolean, common_share double, passages bigint")
+    asked = make_block([tuple(r) for r in rows])
+    asked.items = [i for i in asked.items if i.terms]
+    if not asked.items:
+        return spark.createDataFrame([], PAIRS + ", passages bigint")
+    texts = spread(documents.select("doc_id", "text").filter(F.col("text").isNotNull()), "doc_id")
+    # Read by several passes: written once to the shared checkpoint folder.
+    sequences = cut_lineage(texts.mapInPandas(_sequences(asked), "doc_id bigint, unspaced boolean, terms array<int>"))
+    size = len(asked.vocabulary)
+    counted = np.frombuffer(_added(sequences.mapInPandas(_document_counts(size), "slice int, part binary")) or bytes(8 * (size + 1)), dtype=np.float64)
+    corpus = float(counted[size])
+    idf = np.log(1 + (corpus + 1) / (1 + counted[:size]))
+    own, _ = item_passages(asked.items)
+    basis = latent_space(sequences, own, idf, corpus, rank)
+    blocks = [asked.items[n : n + block_items] for n in range(0, len(asked.items), block_items)]
+    found = functools.reduce(DataFrame.unionByName, [sequences.mapInPandas(_candidates(block, basis, idf, least), PAIRS) for block in blocks])
     return found.groupBy("doc_id", "item_id").agg(
         F.max("cosine").alias("cosine"),
         F.max("longest_run").alias("longest_run"),
@@ -398,21 +420,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: float = 0.6, ran
     )
 
 
-def _leaked_in_block(documents: DataFrame, block: Block, least: float, rank: int) -> DataFrame | None:
-    block.items = [i for i in block.items if i.terms]
-    if not block.items:
-        return None
-    texts = spread(documents.select("doc_id", "text").filter(F.col("text").isNotNull()), "doc_id")
-    # Read by four passes: written once to the shared checkpoint folder.
-    sequences = cut_lineage(texts.mapInPandas(_sequences(block), "doc_id bigint, unspaced boolean, terms array<int>"))
-    size = len(block.vocabulary)
-    counts = _added(sequences.mapInPandas(_document_counts(size), "slice int, part binary"), 1)
-    counted = np.frombuffer(counts, dtype=np.float64) if counts else np.zeros(size + 1)
-    corpus = float(counted[size])
-    idf = np.log(1 + (corpus + 1) / (1 + counted[:size]))
-    own, _ = item_passages(block.items)
-    basis = latent_space(sequences, own, idf, corpus, rank)
-    return sequences.mapInPandas(_candidates(block, basis, idf, least), "doc_id bigint, item_id bigint, cosine double, longest_run bigint, leaked boolean, common_share double")
+PAIRS = "doc_id bigint, item_id bigint, cosine double, longest_run bigint, leaked boolean, common_share double"
 
 
 def answer_checks(pairs: DataFrame, documents: DataFrame, items: DataFrame) -> DataFrame:

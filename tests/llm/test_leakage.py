@@ -89,3 +89,46 @@ def test_whole_runs_do_not_depend_on_the_cosine(spark):
     docs, items = make(2)
     pairs = leaked_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), least=1.01)
     assert {(r.doc_id, r.item_id) for r in pairs.filter("leaked").collect()} == brute(docs, items)
+
+
+def test_blocks_change_nothing(spark):
+    docs, items = make(3)
+    documents, wanted = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    rows = [{(r.doc_id, r.item_id, round(r.cosine, 4), r.longest_run, r.leaked) for r in leaked_items(documents, wanted, block_items=n).collect()} for n in (7, 2000)]
+    assert rows[0] == rows[1] and rows[0]
+
+
+def test_paraphrases_are_found(spark):
+    """Prompts with every third to fifth word exchanged, so that no run is left whole."""
+    docs, items = make(4)
+    rnd = random.Random(9)
+    prompts = {i: words(p) for i, _, lang, p, _ in items if lang == "en" and p and i is not None}
+    want, told = set(), []
+    for n in range(80):
+        i = rnd.choice(sorted(prompts))
+        told_words, at = list(prompts[i]), rnd.randrange(3)
+        while at < len(told_words):
+            told_words[at] = rnd.choice(prompts[rnd.choice(sorted(prompts))])
+            at += rnd.randint(3, 5)
+        around = [rnd.choice(prompts[rnd.choice(sorted(prompts))]) for _ in range(40)]
+        told.append((1000 + n, " ".join(around[:20] + told_words + around[20:])))
+        want.add((1000 + n, i))
+    pairs = leaked_items(spark.createDataFrame(docs + told, DOCS), spark.createDataFrame(items, ITEMS)).filter("common_share >= 0.5").collect()
+    found = {(r.doc_id, r.item_id) for r in pairs}
+    assert len(want & found) >= 0.9 * len(want)
+    # Of documents without a prompt none has half of one in common.
+    assert not [d for d, _ in found - want if d >= 1000]
+
+
+def test_sums_are_added_in_a_tree(spark):
+    import numpy as np
+    import pandas as pd
+
+    from brindle.llm.leakage import _added
+
+    def part(batches):
+        held = sum(b["id"].sum() for b in batches)
+        yield pd.DataFrame({"slice": [0, 1], "part": [np.array([float(held)]).tobytes(), np.array([1.0]).tobytes()]})
+
+    sums = np.frombuffer(_added(spark.range(0, 1000, 1, 1200).mapInPandas(part, "slice int, part binary")))
+    assert sums.tolist() == [499500.0, 1200.0]
