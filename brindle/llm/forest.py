@@ -34,7 +34,7 @@ SAMPLE, LEAST_SAMPLE = 16384, 256
 #: Rows of a sorted range, rows of it compared at a time, and queries of a block.
 RANGE_ROWS, STEP, BLOCK = 200_000, 256, 2048
 #: Standard deviations that the bits of a pair at the least cosine may differ beyond their mean.
-SPREAD = 4.0
+SPREAD = 3.0
 
 
 def planes(dimensions: int, trees: int) -> np.ndarray:

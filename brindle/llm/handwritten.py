@@ -25,6 +25,10 @@ LOCKFILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock",
 GENERATED_HEADER = r"""(?xi)
     @generated | <auto-?generated | \bautogenerated\b | automatically\ generated\ by | \bauto-generated\b
   | \bgenerated\ by\ \S.*do\ not\ (edit|modify) | code\ generated\ by\ .*do\ not\ edit | built\ from\ \S+;\ edit
+  | \b(machine|computer|tool)[-\ ]?(generated|made|written|produced)\b
+  | \b(generated|produced|created|written|emitted)\ by\ (a|the)\ (tool|script|generator|compiler|program)\b
+  | \b(changes|edits|modifications)\ ((made\ )?(here|to\ this\ file)\ )?(will\ be|are|get)\ (lost|overwritten|discarded)\b
+  | ^[\W_]*(output|product)\ of\ [`'"]
   | automatisch\ (erzeugt|generiert) | produit\ par\ .*ne\ pas\ modifier | générée?\ automatiquement
   | generado\ autom[aá]ticamente | 自动生成 | 自動生成 | автоматически\ (создан|сгенерирован)
 """
@@ -32,7 +36,7 @@ LIBRARY_HEADER = r"""(?xi)
     @license\s+(?<lib>[a-z][\w.-]+)\s+v?\d+\.\d+
   | part\ of\ the\ (?<lib>[a-z][\w.-]+)\ library,\ release
   | copyright\ .{0,12}\bthe\ (?<lib>[a-z][\w.-]+)\ contributors
-  | ^[\W_]*(?<lib>[a-z][\w.-]+)\s+v?\d+\.\d+\.\d+\s*(?:,\ taken\ over\ unchanged)?[\W_]*$
+  | ^[\W_]*(?<lib>[a-z][\w.-]+)\s+v?\d+\.\d+\.\d+\s*(?:,\ (?:taken\ over|vendored|bundled|copied|unchanged|unmodified)\b.*)?[\W_]*$
 """
 JSON_LIBRARY = r"""^\s*\{\s*["']name["']\s*:\s*["'](?<lib>[^"']+)["']\s*,\s*["']version["']\s*:\s*["'][^"']*["']\s*,\s*["']license["']"""
 #: Comment markers that a header line may start with.
@@ -41,18 +45,23 @@ COMMENT = r"^\s*(?:#|//|/\*|\*|<!--|\{?\s*\"_comment\"|--|;|%|'''|\"\"\")"
 BLOCK_OPEN = r"^\s*[rRuUbB]{0,2}(/\*|<!--|\'\'\'|\"\"\")"
 _BLOCK_END = {"/*": "*/", "<!--": "-->"}
 
-#: Thresholds per language: minified below ``space`` with a mean line above ``line``;
-#: data above ``digits`` (share of the text in numeric literals) or ``encoded`` (share
-#: in long encoded runs); repeated layout above ``repeat`` (share of lines in the
-#: four commonest line forms, where these are few) from ``lines`` lines on. Markup and data languages repeat
-#: their layout by nature and have no such limit.
+#: Thresholds per language: minified below ``space`` with a mean line above ``line`` or a
+#: line above ``longest``; data above ``digits`` (share of the text in numeric literals),
+#: ``encoded`` (share in long encoded runs) or ``alnum`` (share of letters and digits, as in
+#: encoded data of any width); repeated layout above ``repeat`` (share of lines in the four
+#: commonest line forms, where these are few) from ``lines`` lines on. Markup and data
+#: languages repeat their layout by nature and have no such limit. Each lies between the
+#: extremes that plain code and the other kind show in the language.
 THRESHOLDS = {
-    "default": {"space": 0.09, "line": 120, "digits": 0.28, "encoded": 0.2, "repeat": 0.78, "lines": 8},
-    "js": {"space": 0.1, "line": 90},
-    "ts": {"space": 0.1, "line": 90},
-    "css": {"space": 0.1, "repeat": 2},
-    "json": {"space": 0.08, "line": 400, "digits": 0.35, "repeat": 2},
-    "xml": {"space": 0.06, "line": 200, "repeat": 2},
+    "default": {"space": 0.09, "line": 120, "longest": 1000, "digits": 0.28, "encoded": 0.2, "alnum": 0.82, "repeat": 0.78, "lines": 8},
+    "js": {"space": 0.1, "line": 90, "longest": 500, "digits": 0.25},
+    "ts": {"space": 0.1, "line": 90, "longest": 500, "digits": 0.25},
+    "py": {"space": 0.1, "line": 100, "longest": 800, "digits": 0.3},
+    "java": {"space": 0.11, "line": 100, "longest": 800, "digits": 0.22},
+    "go": {"space": 0.1, "line": 110, "longest": 800, "digits": 0.22},
+    "css": {"space": 0.1, "longest": 500, "repeat": 2},
+    "json": {"space": 0.08, "line": 400, "longest": 4000, "digits": 0.35, "alnum": 0.85, "repeat": 2},
+    "xml": {"space": 0.06, "line": 200, "longest": 2000, "repeat": 2},
 }
 
 _GENERATED, _LIBRARY, _JSON_LIBRARY, _COMMENT, _BLOCK_OPEN = (regex.compile(p) for p in (GENERATED_HEADER, LIBRARY_HEADER, JSON_LIBRARY, COMMENT, BLOCK_OPEN))
@@ -193,8 +202,8 @@ def classify_files(files: DataFrame, texts: DataFrame) -> DataFrame:
     joined = known.join(by_folder, "file_id", "left").join(copied, "body_hash", "left")
     vendored = F.col("has_text") & (F.col("in_vendor") | F.coalesce("folder_named", F.lit(False)) | F.coalesce("copied", F.lit(False)))
     lockfile = F.col("has_text") & F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1).isin(*LOCKFILES)
-    data = (F.col("encoded_share") > _limit("encoded")) | (F.col("digit_share") > _limit("digits"))
-    minified = (F.col("space_share") < _limit("space")) & (F.col("mean_line") > _limit("line"))
+    data = (F.col("encoded_share") > _limit("encoded")) | (F.col("digit_share") > _limit("digits")) | ((F.col("alnum_share") > _limit("alnum")) & (F.col("code_lines") >= _limit("lines")))
+    minified = (F.col("space_share") < _limit("space")) & ((F.col("mean_line") > _limit("line")) | (F.col("max_line") > _limit("longest")))
     repeated = (F.col("repeat_share") >= _limit("repeat")) & (F.col("code_lines") >= _limit("lines"))
     origin = F.when(vendored, "vendored").when(F.col("generated_header") | lockfile, "generated").when(data, "data").when(minified, "minified").when(repeated, "generated").otherwise("handwritten")
     return joined.withColumn("origin", origin).select("file_id", "path", "suffix", "max_line", "mean_line", "space_share", "alnum_share", "digit_share", "encoded_share", "repeat_share", "code_lines", "generated_header", "library", "origin")

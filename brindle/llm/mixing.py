@@ -21,14 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.session import cut_lineage
+from brindle.session import cut_lineage, spread
 
 #: Folder of the public vocabulary files, and the file counted with.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern published with that vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCKS = 1024
+#: Documents of a block of a permutation, about.
+BLOCK_ROWS = 8192
 
 
 def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -55,10 +56,12 @@ def source_name(c: Column) -> Column:
 
 def distinct_texts(documents: DataFrame) -> DataFrame:
     """``source, doc_id, tokens`` with a text once per source, under its least id: copies
-    under several ids are one document as to repetition."""
-    named = documents.select(source_name(F.col("source")).alias("source"), "doc_id", "text").filter(F.col("source").isNotNull() & (F.col("source") != "") & F.col("text").isNotNull() & (F.col("text") != "") & F.col("doc_id").isNotNull())
-    single = named.groupBy("source", F.sha2("text", 256).alias("digest")).agg(F.min(F.struct("doc_id", "text")).alias("first"))
-    return token_counts(single.select("source", F.col("first.doc_id").alias("doc_id"), F.col("first.text").alias("text"))).select("source", "doc_id", "tokens").filter(F.col("tokens") > 0)
+    under several ids are one document as to repetition. Tokens are counted where a text is
+    read; only digests, ids and counts are shuffled."""
+    named = spread(documents.select("source", "doc_id", "text"), "doc_id").select(source_name(F.col("source")).alias("source"), "doc_id", "text")
+    filled = named.filter(F.col("source").isNotNull() & (F.col("source") != "") & F.col("text").isNotNull() & (F.col("text") != "") & F.col("doc_id").isNotNull())
+    counted = token_counts(filled).select("source", "doc_id", "tokens", F.sha2("text", 256).alias("digest"))
+    return counted.groupBy("source", "digest").agg(F.min("doc_id").alias("doc_id"), F.min("tokens").alias("tokens")).select("source", "doc_id", "tokens").filter(F.col("tokens") > 0)
 
 
 def shares_at(natural: list[float], target: list[float], exponent: float) -> list[float]:
@@ -94,12 +97,15 @@ def temperature_shares(sizes: list[float], target_entropy: float) -> tuple[float
     return exponent, at(exponent)
 
 
-def plan_mix(sizes: dict[str, int], targets: dict[str, tuple[float, int]], budget: float | None = None) -> list[dict]:
+def plan_mix(sizes: dict[str, int], targets: dict[str, tuple[float, int]], budget: float | None = None, growth: float | None = None, evenness: float | None = None) -> list[dict]:
     """Token budgets of one mix. ``sizes``: tokens per source; ``targets``: weight and most
     copies per source. Sources that are absent or empty get none; their weight goes to
     the others in proportion. Without a ``budget`` the mix is as large as the exact
     target shares allow, so the exponent is 1; a larger one lowers the exponent, and
-    where even the natural shares exceed what repetition allows, sources are used up."""
+    where even the natural shares exceed what repetition allows, sources are used up.
+    ``growth`` states the budget as a multiple of that largest exact size. ``evenness``
+    takes the place of the weights: the shares of what the sources hold are exponentiated
+    until their entropy is that share of the greatest one."""
     targets = {s: (w, r) for s, (w, r) in targets.items() if w and w > 0 and r and r > 0}
     present = sorted(s for s in targets if sizes.get(s, 0) > 0)
     plan = []
@@ -109,26 +115,40 @@ def plan_mix(sizes: dict[str, int], targets: dict[str, tuple[float, int]], budge
         held = sum(sizes[s] for s in present)
         natural = [sizes[s] / held for s in present]
         most = [sizes[s] * targets[s][1] for s in present]
-        total = min(m / t for m, t in zip(most, target)) if budget is None else budget
-        exponent = bisect_exponent(lambda a: all(x * total <= m * (1 + 1e-12) for x, m in zip(shares_at(natural, target, a), most)))
-        for s, t, x, m in zip(present, target, shares_at(natural, target, exponent), most):
+        if evenness is not None:
+            exponent, shares = temperature_shares([float(sizes[s]) for s in present], evenness * math.log(len(present)))
+            exact = min(m / x for m, x in zip(most, shares) if x > 0)
+            total = budget if budget is not None else exact * (growth or 1)
+        else:
+            exact = min(m / t for m, t in zip(most, target))
+            total = budget if budget is not None else exact * (growth or 1)
+            exponent = bisect_exponent(lambda a: all(x * total <= m * (1 + 1e-12) for x, m in zip(shares_at(natural, target, a), most)))
+            shares = shares_at(natural, target, exponent)
+        for s, t, x, m in zip(present, target, shares, most):
             plan.append({"source": s, "target_share": t, "planned_share": x, "token_budget": int(min(m, round(x * total))), "exponent": exponent})
     plan += [{"source": s, "target_share": 0.0, "planned_share": 0.0, "token_budget": 0, "exponent": None} for s in sorted(set(targets) - set(present))]
     return plan
 
 
-def plan_mixes(sources: DataFrame, targets: DataFrame, budget: float | None = None) -> DataFrame:
-    """Plans of all mixes: one row per mix and source. What is read to the driver is one
-    number per source that a mix names: the targets are the stated, small request."""
+def plan_mixes(sources: DataFrame, targets: DataFrame, **wanted) -> DataFrame:
+    """Plans of all mixes, as ``plan_mix``: one row per mix and source. What is read to the
+    driver is two numbers per source that a mix names: the targets are the stated, small
+    request."""
     spark = sources.sparkSession
     asked = targets.select("mix_id", source_name(F.col("source")).alias("source"), "target_weight", "max_repeats").dropna()
     asked = asked.groupBy("mix_id", "source").agg(F.sum("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats"))
-    sizes = {r["source"]: r["tokens"] for r in sources.join(asked.select("source").distinct(), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens")).toLocalIterator()}
+    held = sources.join(asked.select("source").distinct(), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
+    sizes = {r["source"]: (r["tokens"], r["documents"]) for r in held.toLocalIterator()}
     mixes: dict[int, dict] = {}
     for r in asked.toLocalIterator():
         mixes.setdefault(r["mix_id"], {})[r["source"]] = (r["target_weight"], r["max_repeats"])
-    rows = [(mix, p["source"], p["target_share"], p["planned_share"], p["token_budget"], sizes.get(p["source"], 0), p["exponent"]) for mix, wanted in sorted(mixes.items()) for p in plan_mix(sizes, wanted, budget)]
-    return spark.createDataFrame(rows, "mix_id bigint, source string, target_share double, planned_share double, token_budget bigint, source_tokens bigint, exponent double")
+    tokens = {s: n for s, (n, _) in sizes.items()}
+    rows = []
+    for mix, named in sorted(mixes.items()):
+        for p in plan_mix(tokens, named, **wanted):
+            n, documents = sizes.get(p["source"], (0, 0))
+            rows.append((mix, p["source"], p["target_share"], p["planned_share"], p["token_budget"], n, documents, p["exponent"]))
+    return spark.createDataFrame(rows, "mix_id bigint, source string, target_share double, planned_share double, token_budget bigint, source_tokens bigint, source_documents bigint, exponent double")
 
 
 def realise(sources: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
@@ -137,11 +157,12 @@ def realise(sources: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
     A budget of ``n`` whole passes and a rest takes every document ``n`` times, and once
     more those at the head of a random permutation until the rest is used up, and then
     the one largest document that still fits into what is left: sums are never over the
-    budget, and under it by less than one document per source. The permutation is of ``BLOCKS`` hash blocks and inside each block: block totals are
-    added first, so no task orders a whole source, whatever its share of the rows.
+    budget, and under it by less than one document per source. The permutation is of hash
+    blocks of some ``BLOCK_ROWS`` documents and inside each block: block totals are added
+    first, so no task orders a whole source, whatever its share of the rows.
     """
-    active = plan.filter(F.col("token_budget") > 0).select("mix_id", "source", "token_budget", "source_tokens")
-    placed = sources.join(F.broadcast(active), "source")  # one row per mix and source of the request
+    active = plan.filter(F.col("token_budget") > 0).select("mix_id", "source", "token_budget", "source_tokens", "source_documents")
+    placed = sources.join(active, "source")
     turn = F.floor(F.col("token_budget") / F.col("source_tokens"))
     placed = placed.withColumns(
         {
@@ -149,7 +170,7 @@ def realise(sources: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
             "rest": F.col("token_budget") - turn * F.col("source_tokens"),
             "order": F.xxhash64(F.lit(seed), "mix_id", "doc_id"),
         }
-    ).withColumn("block", F.pmod("order", F.lit(BLOCKS)).cast("int"))
+    ).withColumn("block", F.pmod("order", F.ceil(F.col("source_documents") / BLOCK_ROWS)).cast("int"))
     totals = placed.groupBy("mix_id", "source", "block").agg(F.sum("tokens").alias("held"))
     before = Window.partitionBy("mix_id", "source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("offset", F.coalesce(F.sum("held").over(before), F.lit(0))).drop("held")
@@ -160,15 +181,16 @@ def realise(sources: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
     # One more document fills the gap that the head leaves: the largest that still fits.
     gaps = headed.groupBy(*group).agg((F.max("rest") - F.sum(F.when(F.col("head"), F.col("tokens")).otherwise(0))).alias("gap"))
     fits = ~F.col("head") & (F.col("tokens") <= F.col("gap"))
-    fillers = headed.join(F.broadcast(gaps), group).filter(fits).groupBy(*group).agg(F.max(F.struct("tokens", "order", "doc_id")).alias("filler"))
-    filled = headed.join(F.broadcast(fillers), group, "left")
+    fillers = headed.join(gaps, group).filter(fits).groupBy(*group).agg(F.max(F.struct("tokens", "order", "doc_id")).alias("filler"))
+    filled = headed.join(fillers, group, "left")
     extra = F.col("head") | F.coalesce(F.col("filler.doc_id") == F.col("doc_id"), F.lit(False))
     copies = F.col("whole") + F.when(extra, 1).otherwise(0)
     return filled.withColumn("copies", copies.cast("int")).filter(F.col("copies") > 0).select(*group, "doc_id", "tokens", "copies")
 
 
-def mix_sources(documents: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 1) -> DataFrame:
-    """The mixes as documents with their number of copies, never more than ``max_repeats``.
+def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 1, **wanted) -> DataFrame:
+    """The mixes as documents with their number of copies, never more than ``max_repeats``;
+    ``wanted`` may state ``budget``, ``growth`` or ``evenness`` (see ``plan_mix``).
 
     Spellings of a source are joined. Null or blank sources, null ids, and texts that are
     null or without tokens take no part; a mix none of whose sources is present is
@@ -176,14 +198,14 @@ def mix_sources(documents: DataFrame, targets: DataFrame, budget: float | None =
     negative ask for nothing.
     """
     sources = cut_lineage(distinct_texts(documents))  # tokens are counted once
-    return realise(sources, plan_mixes(sources, targets, budget), seed)
+    return realise(sources, plan_mixes(sources, targets, **wanted), seed)
 
 
-def mix_report(documents: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 1) -> DataFrame:
+def mix_report(documents: DataFrame, targets: DataFrame, seed: int = 1, **wanted) -> DataFrame:
     """Per mix and source: target, planned and reached share of tokens, documents, copies,
     the most copies of one document, and whether the source is absent."""
     sources = cut_lineage(distinct_texts(documents))
-    plan = plan_mixes(sources, targets, budget)
+    plan = plan_mixes(sources, targets, **wanted)
     used = realise(sources, plan, seed).groupBy("mix_id", "source").agg(
         F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies")
     )

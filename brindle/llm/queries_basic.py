@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.fusion import PARTS, RRF_K, fused_ranking, leading
-from brindle.llm.terms import term_weights
+from brindle.llm.terms import term_weights, top_terms
 from brindle.sources.tables import table
 
 
@@ -16,7 +16,14 @@ def p1_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return term_weights(table(spark, d, "code_signals"), min_records=2, max_records=12).select("signal_id", "term")
+    """Terms that few signals share, of those that have a weight at all."""
+    weighted = term_weights(table(spark, d, "code_signals"), min_records=2, max_records=12)
+    return weighted.filter(~F.isnan("weight")).select("signal_id", "term")
+
+
+def p1_top(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most characteristic terms of every live signal."""
+    return top_terms(term_weights(table(spark, d, "code_signals")), 10)
 
 
 def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +49,16 @@ cells AS (SELECT signal_id, term, count(*) AS n FROM terms WHERE term <> '' GROU
 cols AS (SELECT term, sum(n)::BIGINT AS column_n, count(*) AS records FROM cells GROUP BY term),
 """
 
+P1_WEIGHTS = (
+    P1_CELLS
+    + """sized AS (SELECT signal_id, sum(n)::BIGINT AS row_n FROM cells GROUP BY signal_id),
+total AS (SELECT sum(n)::BIGINT AS total_n FROM cells),
+e AS (SELECT c.*, records, row_n * column_n / total_n::DOUBLE AS e, (1 - row_n / total_n::DOUBLE) * (1 - column_n / total_n::DOUBLE) AS v
+  FROM cells c JOIN cols USING (term) JOIN sized USING (signal_id), total),
+weights AS (SELECT signal_id, term, n, records, CASE WHEN e * v > 0 THEN (n - e) / sqrt(e * v) ELSE 0.0 END AS weight FROM e)
+"""
+)
+
 P3_RANKED = f"""
 WITH parts AS (
   SELECT query_id, chunk_id, score, rerank_score, {", ".join(f"score_parts['{p}'] AS {p}" for p in PARTS)} FROM ranked_chunks),
@@ -54,16 +71,14 @@ ranks AS (
 fused AS (SELECT *, round({" + ".join(f"1.0::DOUBLE / ({RRF_K} + rank_{c})" for c in ("score", "rerank_score", *PARTS))}, 12) AS fused FROM ranks)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_weights": p1_weights, "p3_found": p3_found, "p3_ranking": p3_ranking}
+QUERIES = {"p1_found": p1_found, "p1_weights": p1_weights, "p1_top": p1_top, "p3_found": p3_found, "p3_ranking": p3_ranking}
 
 ORACLES = {
     "p1_found": P1_CELLS + "kept AS (SELECT term FROM cols WHERE records BETWEEN 2 AND 12) SELECT c.signal_id, c.term FROM cells c JOIN kept USING (term)",
-    "p1_weights": P1_CELLS
-    + """sized AS (SELECT signal_id, sum(n)::BIGINT AS row_n FROM cells GROUP BY signal_id),
-total AS (SELECT sum(n)::BIGINT AS total_n FROM cells),
-e AS (SELECT c.*, records, row_n * column_n / total_n::DOUBLE AS e, (1 - row_n / total_n::DOUBLE) * (1 - column_n / total_n::DOUBLE) AS v
-  FROM cells c JOIN cols USING (term) JOIN sized USING (signal_id), total)
-SELECT signal_id, term, n, records, round(CASE WHEN e * v > 0 THEN (n - e) / sqrt(e * v) ELSE 0.0 END, 4) AS weight FROM e""",
+    "p1_weights": P1_WEIGHTS + "SELECT signal_id, term, n, records, round(weight, 4) AS weight FROM weights",
+    "p1_top": P1_WEIGHTS
+    + """, ranked AS (SELECT signal_id, term, round(weight, 6) AS weight, row_number() OVER (PARTITION BY signal_id ORDER BY round(weight, 6) DESC, term) AS position FROM weights)
+SELECT signal_id, term, round(weight, 4) AS weight, position::INT AS position FROM ranked WHERE position <= 10""",
     "p3_found": P3_RANKED + "SELECT query_id, chunk_id FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) <= 5",
     "p3_ranking": P3_RANKED + f"SELECT query_id, chunk_id, {', '.join(f'rank_{c}' for c in ('score', 'rerank_score', *PARTS))}, round(fused, 9) AS fused FROM fused",
 }

@@ -37,6 +37,19 @@ def test_plan_lowers_the_exponent_for_a_large_budget():
     assert exact["a"]["exponent"] == 1 and exact["a"]["token_budget"] == exact["b"]["token_budget"] == 20
 
 
+def test_growth_and_evenness(spark):
+    docs = spark.createDataFrame(documents(), DOCS)
+    targets = spark.createDataFrame([(1, "big", 1.0, 1), (1, "small", 1.0, 4)], TARGETS)
+    exact, grown, even = ({r.source: r for r in mix_report(docs, targets, **wanted).collect()} for wanted in ({}, {"growth": 3.0}, {"evenness": 0.9}))
+    assert abs(exact["small"].actual_share - 0.5) < 0.05
+    # Small is used as often as it may be; big makes up the rest of three times the size.
+    assert grown["small"].most_copies == 4 and grown["small"].planned_share < 0.2
+    size = sum(r.tokens for r in exact.values())
+    assert abs(sum(r.tokens for r in grown.values()) / size - 3) < 0.1
+    shares = [r.planned_share for r in even.values()]
+    assert math.isclose(entropy(shares), 0.9 * math.log(2), abs_tol=1e-4) and all(abs(r.actual_share - r.planned_share) < 0.05 for r in even.values())
+
+
 def test_temperature():
     exponent, shares = temperature_shares([900.0, 90.0, 10.0], 0.9)
     assert 0 < exponent < 1 and math.isclose(entropy(shares), 0.9, abs_tol=1e-6) and math.isclose(sum(shares), 1)
