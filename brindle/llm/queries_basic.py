@@ -77,7 +77,7 @@ ORACLES = {
     "p1_found": P1_CELLS + "kept AS (SELECT term FROM cols WHERE records BETWEEN 2 AND 12) SELECT c.signal_id, c.term FROM cells c JOIN kept USING (term)",
     "p1_weights": P1_WEIGHTS + "SELECT signal_id, term, n, records, round(weight, 4) AS weight FROM weights",
     "p1_top": P1_WEIGHTS
-    + """, ranked AS (SELECT signal_id, term, round(weight, 6) AS weight, row_number() OVER (PARTITION BY signal_id ORDER BY round(weight, 6) DESC, term) AS position FROM weights)
+    + """, ranked AS (SELECT signal_id, term, weight, row_number() OVER (PARTITION BY signal_id ORDER BY round(weight, 6) DESC, term) AS position FROM weights)
 SELECT signal_id, term, round(weight, 4) AS weight, position::INT AS position FROM ranked WHERE position <= 10""",
     "p3_found": P3_RANKED + "SELECT query_id, chunk_id FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) <= 5",
     "p3_ranking": P3_RANKED + f"SELECT query_id, chunk_id, {', '.join(f'rank_{c}' for c in ('score', 'rerank_score', *PARTS))}, round(fused, 9) AS fused FROM fused",
