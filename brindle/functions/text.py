@@ -37,12 +37,24 @@ def cjk_groups(word: Column) -> Column:
     return F.concat(groups(2), groups(3))
 
 
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def identifier_tokens(text: Column) -> Column:
     """Tokens in order, repeats kept: parts of ASCII words in small letters; other words as
-    they are, followed by their CJK groups. Null text has none."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0)
+    they are, followed by their CJK groups. Null text has none.
+
+    Where no word mixes scripts, words are cut and lowered in the text as a whole; only the
+    texts that hold a letter of another script right before an ASCII one are taken word by
+    word."""
+    text = F.coalesce(text, F.lit(""))
+    words = lambda t: F.regexp_extract_all(t, F.lit(WORD), 0)
     ascii_word = lambda w: w.rlike("^[A-Za-z0-9]+$")
-    return F.flatten(F.transform(words, lambda w: F.when(ascii_word(w), F.split(F.lower(spaced_identifier(w)), " ")).otherwise(F.concat(F.array(w), cjk_groups(w)))))
+    single = F.flatten(F.transform(words(text), lambda w: F.when(ascii_word(w), F.split(F.lower(spaced_identifier(w)), " ")).otherwise(F.concat(F.array(w), cjk_groups(w)))))
+    whole = words(F.translate(spaced_identifier(text), _CAPITALS, _SMALL))
+    grouped = F.flatten(F.transform(whole, lambda w: F.when(ascii_word(w), F.array(w)).otherwise(F.concat(F.array(w), cjk_groups(w)))))
+    mixed = text.rlike(r"[\p{L}\p{N}&&[^A-Za-z0-9]][A-Za-z0-9]")
+    return F.when(mixed, single).when(text.rlike(CJK), grouped).otherwise(whole)
 
 
 def distinct_lower(tokens: Column) -> Column:
@@ -51,8 +63,9 @@ def distinct_lower(tokens: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Case-folded text: small letters, sharp s as ss."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Case-folded text: small letters, sharp s as ss, final sigma and long s as the plain
+    letters. Full case folding also takes ligatures and some rare letters apart."""
+    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
 
 
 def chunk_id(path: Column, start: Column, end: Column, content: Column) -> Column:

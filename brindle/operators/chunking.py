@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brindle.functions.text import chunk_id, distinct_lower, identifier_tokens, text_lines
+from brindle.session import spread
 
 MAX_LINES = 80
 
@@ -29,10 +30,17 @@ def chunk_tokens(path: Column, content: Column) -> Column:
     return distinct_lower(F.concat(identifier_tokens(content), identifier_tokens(path)))
 
 
+def token_lists(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, tokens``: the tokens of each text in small letters. The list is handed on as a
+    generated column, so that what reads it twice does not take the text apart twice."""
+    tokens = F.transform(identifier_tokens(F.col(text)), lambda t: F.lower(t))
+    return spread(texts.select(key, text), key).select(key, F.explode(F.array(tokens)).alias("tokens"))
+
+
 def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
     """``key, term, tf, length``: term counts merge before the shuffle; ``length`` is the
     number of tokens of the text. Tokens are in small letters."""
-    counted = texts.select(key, F.transform(identifier_tokens(F.col(text)), lambda t: F.lower(t)).alias("tokens"))
+    counted = token_lists(texts, key, text)
     return counted.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").cast("bigint").alias("length"))
 
 

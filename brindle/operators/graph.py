@@ -39,16 +39,17 @@ def steps(relations: DataFrame) -> DataFrame:
     return both.groupBy("from_id", "to_id", "kind").agg(F.max("factor").alias("factor"))
 
 
-def expand(seeds: DataFrame, walkable: DataFrame, hops: int = MOST_HOPS, checkpoint: bool = False) -> DataFrame:
+def expand(seeds: DataFrame, walkable: DataFrame, hops: int = MOST_HOPS) -> DataFrame:
     """Signals reached from the seeds of each query with their best score, fewest steps
     first among equals: ``query_id, signal_id, score, hops``. ``seeds`` has ``query_id,
     signal_id, score``; seeds keep their own score. A step multiplies by the edge's factor.
 
-    Every level is one join on the signal id with the best score per query and signal
-    kept, so what grows is the frontier, not the number of paths. ``checkpoint`` writes
-    each level, for long walks over large graphs.
+    Every level is one join on the signal id with the best score per query and signal kept.
+    Only what beats the score a signal already has goes on: a factor is at most one, so
+    nothing that starts from a lower score could. Edges and levels are written once each.
     """
-    best = seeds.groupBy("query_id", "signal_id").agg(F.max("score").alias("score")).withColumn("hops", F.lit(0))
+    walkable = cut_lineage(walkable.repartition("from_id"))
+    best = cut_lineage(seeds.groupBy("query_id", "signal_id").agg(F.max("score").alias("score")).withColumn("hops", F.lit(0)))
     frontier = best
     for hop in range(1, hops + 1):
         reached = (
@@ -56,13 +57,13 @@ def expand(seeds: DataFrame, walkable: DataFrame, hops: int = MOST_HOPS, checkpo
             .select("query_id", F.col("to_id").alias("signal_id"), F.round(F.col("score") * F.col("factor"), 9).alias("score"))
             .groupBy("query_id", "signal_id")
             .agg(F.max("score").alias("score"))
-            .withColumn("hops", F.lit(hop))
         )
-        if checkpoint:
-            reached = cut_lineage(reached)
-        best = best.unionByName(reached)
-        frontier = reached
-    return best.groupBy("query_id", "signal_id").agg(F.max(F.struct("score", (-F.col("hops")).alias("less"))).alias("b")).select("query_id", "signal_id", F.col("b.score").alias("score"), (-F.col("b.less")).cast("int").alias("hops"))
+        before = best.select("query_id", "signal_id", F.col("score").alias("_had"))
+        better = reached.join(before, ["query_id", "signal_id"], "left").filter(F.col("_had").isNull() | (F.col("score") > F.col("_had")))
+        frontier = cut_lineage(better.select("query_id", "signal_id", "score", F.lit(hop).alias("hops")))
+        beaten = best.join(frontier.select("query_id", "signal_id"), ["query_id", "signal_id"], "left_anti")
+        best = beaten.select(*frontier.columns).unionByName(frontier)
+    return best.select("query_id", "signal_id", "score", "hops")
 
 
 def resolve_targets(relations: DataFrame, signals: DataFrame) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brindle.functions.text import distinct_lower, folded, identifier_tokens
+from brindle.operators.chunking import token_lists
+from brindle.operators.matching import contained
+from brindle.session import cut_lineage
 
 LIMIT = 80
 K1, B = 1.2, 0.75
@@ -21,43 +24,58 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(distinct_lower(identifier_tokens(F.col("query_text")))).alias("term")).distinct()
 
 
-def scored_postings(posts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """``query_id, key, term, bm25`` of the postings of query terms (k1 1.2, b 0.75)."""
-    per_term = posts.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    texts = posts.groupBy(key).agg(F.first("length").alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+def scored_postings(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """``term, key, bm25`` of the texts that hold a term of any query (k1 1.2, b 0.75): the
+    score of a term in a text is the same for every query.
+
+    Of the tokens only those of query terms go beyond the task that reads a text; numbers
+    and lengths of texts are added up there too."""
+    tokens = token_lists(texts, key, text)
+    asked = terms.select("term").distinct()
+    hits = tokens.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(asked, "term", "left_semi").groupBy("term", key).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    hits = cut_lineage(hits)  # read twice; texts are taken apart once for it
+    per_term = hits.groupBy("term").agg(F.count("*").alias("df"))
+    stats = tokens.select(F.size("tokens").alias("length")).filter("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    joined = terms.join(posts, "term").join(per_term, "term").join(F.broadcast(texts))  # one row
-    return joined.select("query_id", key, "term", F.round(idf * saturated, 8).alias("bm25"))
+    joined = hits.join(per_term, "term").join(F.broadcast(stats))  # one row
+    return joined.select("term", key, F.round(idf * saturated, 8).alias("bm25"))
 
 
 def top(rows: DataFrame, group: str, order: list, limit: int) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("position") <= limit).drop("position")
 
 
+def _exact_sum(rounded: Column | str) -> Column:
+    """A sum of numbers of eight digits that does not depend on their order."""
+    c = F.col(rounded) if isinstance(rounded, str) else rounded
+    return F.sum(c.cast("decimal(18,8)")).cast("double")
+
+
 def lexical_all(scored: DataFrame, terms: DataFrame, key: str, limit: int = LIMIT) -> DataFrame:
     """Texts with every term of the query, best ``limit`` by BM25: ``query_id, key, score``.
     The score ``1 / (1 + bm25)`` falls with relevance while the cut goes by relevance."""
     wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    whole = scored.groupBy("query_id", key).agg(F.round(F.sum("bm25"), 6).alias("bm25"), F.count("*").alias("held")).join(wanted, "query_id").filter(F.col("held") == F.col("wanted"))
+    whole = terms.join(scored, "term").groupBy("query_id", key).agg(F.round(_exact_sum("bm25"), 6).alias("bm25"), F.count("*").alias("held")).join(wanted, "query_id").filter(F.col("held") == F.col("wanted"))
     best = top(whole, "query_id", [F.desc("bm25"), key], limit)
     return best.select("query_id", key, F.round(1 / (1 + F.abs("bm25")), 8).alias("score"))
 
 
-def lexical_any(scored: DataFrame, key: str, limit: int = LIMIT) -> DataFrame:
-    """Every term alone, best ``limit`` texts each; scores add up per text; best ``limit``."""
-    per_term = scored.withColumn("position", F.row_number().over(Window.partitionBy("query_id", "term").orderBy(F.desc("bm25"), key))).filter(F.col("position") <= limit)
-    summed = per_term.groupBy("query_id", key).agg(F.round(F.sum(F.round(1 / (1 + F.abs("bm25")), 8)), 6).alias("score"))
+def lexical_any(scored: DataFrame, terms: DataFrame, key: str, limit: int = LIMIT) -> DataFrame:
+    """Every term alone, best ``limit`` texts each; scores add up per text; best ``limit``.
+    The best of a term are cut out once, however many queries ask for it."""
+    per_term = top(scored, "term", [F.desc("bm25"), key], limit)
+    summed = terms.join(per_term, "term").groupBy("query_id", key).agg(F.round(_exact_sum(F.round(1 / (1 + F.abs("bm25")), 8)), 6).alias("score"))
     return top(summed, "query_id", [F.desc("score"), key], limit)
 
 
-def lexical(posts: DataFrame, queries: DataFrame, key: str, limit: int = LIMIT) -> DataFrame:
+def lexical(texts: DataFrame, text: str, queries: DataFrame, key: str, limit: int = LIMIT) -> DataFrame:
     """All terms where some text has them all, else any: ``query_id, key, score, form``."""
     terms = query_terms(queries)
-    scored = scored_postings(posts, terms, key)
+    scored = scored_postings(texts, key, text, terms)
     whole = lexical_all(scored, terms, key, limit).withColumn("form", F.lit("all"))
-    rest = scored.join(whole.select("query_id").distinct(), "query_id", "left_anti")
-    return whole.unionByName(lexical_any(rest, key, limit).withColumn("form", F.lit("any")))
+    rest = terms.join(whole.select("query_id").distinct(), "query_id", "left_anti")
+    return whole.unionByName(lexical_any(scored, rest, key, limit).withColumn("form", F.lit("any")))
 
 
 def path_symbol(terms: DataFrame, files: DataFrame, symbols: DataFrame, tokens: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -65,13 +83,16 @@ def path_symbol(terms: DataFrame, files: DataFrame, symbols: DataFrame, tokens:
     1.0, equal token 0.25; summed per path; best ``limit``.
 
     ``files`` has ``path``, ``symbols`` ``path, name``, ``tokens`` ``path, term``. Holding is
-    tested per distinct term and distinct name, not per query: terms are the small side.
+    tested once per distinct path and name with one automaton of all terms.
     """
     distinct_terms = terms.select("term").distinct()
-    holds = lambda text: F.contains(F.lower(text), F.col("term"))
-    by_path = files.select("path").distinct().join(distinct_terms, holds(F.col("path"))).select("path", "term", F.lit(1.0).alias("hit"))
-    names = symbols.select("name").dropna().distinct().join(distinct_terms, holds(F.col("name")))
-    by_name = symbols.select("path", "name").distinct().join(names, "name").select("path", "term", F.lit(1.0).alias("hit"))
+
+    def holding(names: DataFrame, column: str) -> DataFrame:
+        lowered = names.select(column).dropna().distinct().withColumn("_low", F.lower(column))
+        return contained(lowered, column, "_low", distinct_terms, "term").withColumnRenamed("probe", "term")
+
+    by_path = holding(files, "path").select("path", "term", F.lit(1.0).alias("hit"))
+    by_name = symbols.select("path", "name").distinct().join(holding(symbols, "name"), "name").select("path", "term", F.lit(1.0).alias("hit"))
     by_token = tokens.select("path", "term").join(distinct_terms, "term").select("path", "term", F.lit(0.25).alias("hit"))
     best = by_path.unionByName(by_name).unionByName(by_token).groupBy("path", "term").agg(F.max("hit").alias("hit"))
     summed = terms.join(best, "term").groupBy("query_id", "path").agg(F.sum("hit").alias("score"))
@@ -90,7 +111,7 @@ def direct_text(probes: DataFrame, texts: DataFrame, key: str, limit: int) -> Da
     folded_probes = probes.select("query_id", folded(F.col("probe")).alias("probe")).distinct()
     counts = folded_probes.groupBy("query_id").agg(F.count("*").alias("probes"))
     single = folded_probes.select("probe").distinct().withColumn("strong", (F.length("probe") >= 8) | F.col("probe").rlike("[\\u3400-\\u9fff]{4}"))
-    found = texts.select(key, folded(F.col("text")).alias("text")).join(single, F.contains("text", "probe")).select(key, "probe", "strong")
+    found = contained(texts.select(key, folded(F.col("text")).alias("text")), key, "text", single, "probe").join(single, "probe")
     per_text = folded_probes.join(found, "probe").groupBy("query_id", key).agg(F.count("*").alias("hits"), F.max("strong").alias("strong")).join(counts, "query_id")
     scored = per_text.select("query_id", key, "hits", F.round(direct_score(F.col("hits"), F.col("strong"), F.col("probes")), 6).alias("score"))
     return top(scored, "query_id", [F.desc("score"), F.desc("hits"), key], limit)
@@ -102,7 +123,7 @@ def signal_recall(terms: DataFrame, signals: DataFrame, limit: int) -> DataFrame
     metadata = F.array_join(F.concat(F.map_keys("metadata"), F.map_values("metadata")), " ")
     hay = F.lower(F.concat_ws(" ", "name", F.array_join(F.coalesce("tokens", F.array().cast("array<string>")), " "), metadata))
     live = signals.filter(F.col("recallable") & F.col("deleted_at").isNull()).select("signal_id", "kind", "start_line", "end_line", "name", hay.alias("hay")).dropDuplicates(["signal_id"])
-    held = live.select("signal_id", "hay").join(terms.select("term").distinct(), F.contains("hay", "term")).select("signal_id", "term")
+    held = contained(live, "signal_id", "hay", terms, "term").withColumnRenamed("probe", "term")
     hits = terms.join(held, "term").groupBy("query_id", "signal_id").agg(F.count("*").alias("hits"))
     ordered = hits.join(live.drop("hay"), "signal_id")
     order = [F.desc("hits"), F.when(F.col("kind") == "endpoint", 0).otherwise(1), "start_line", "end_line", "kind", "name", "signal_id"]

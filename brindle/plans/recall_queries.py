@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import chunking, recall
+from brindle.operators import recall
 from brindle.plans.text_queries import sql_tokens
 from brindle.sources.tables import table
 
@@ -18,18 +18,19 @@ def query_set(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ranked_chunks").select("query_id", "query_text").distinct()
 
 
-def _posts(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.postings(table(spark, d, "documents"), "doc_id", "text")
+def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    terms = recall.query_terms(query_set(spark, d))
+    return recall.scored_postings(table(spark, d, "documents"), "doc_id", "text", terms), terms
 
 
 def c1_lexical_all(spark: SparkSession, d: str) -> DataFrame:
-    terms = recall.query_terms(query_set(spark, d))
-    return recall.lexical_all(recall.scored_postings(_posts(spark, d), terms, "doc_id"), terms, "doc_id")
+    scored, terms = _scored(spark, d)
+    return recall.lexical_all(scored, terms, "doc_id")
 
 
 def c2_lexical_any(spark: SparkSession, d: str) -> DataFrame:
-    terms = recall.query_terms(query_set(spark, d))
-    return recall.lexical_any(recall.scored_postings(_posts(spark, d), terms, "doc_id"), "doc_id")
+    scored, terms = _scored(spark, d)
+    return recall.lexical_any(scored, terms, "doc_id")
 
 
 def c3_path_symbol(spark: SparkSession, d: str) -> DataFrame:
@@ -92,13 +93,13 @@ QUERIES = {f.__name__: f for f in (c1_lexical_all, c2_lexical_any, c3_path_symbo
 
 ORACLES = {
     "c1_lexical_all": SCORED
-    + """, whole AS (SELECT query_id, doc_id, round(sum(bm25), 6) AS bm25, count(*) AS held FROM scored GROUP BY ALL),
+    + """, whole AS (SELECT query_id, doc_id, round(sum(bm25::DECIMAL(18,8))::DOUBLE, 6) AS bm25, count(*) AS held FROM scored GROUP BY ALL),
 wanted AS (SELECT query_id, count(*) AS wanted FROM terms GROUP BY ALL)
 SELECT query_id, doc_id, round(1 / (1 + abs(bm25)), 8) AS score FROM whole JOIN wanted USING (query_id) WHERE held = wanted
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) <= 80""",
     "c2_lexical_any": SCORED
     + """, best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, term ORDER BY bm25 DESC, doc_id) <= 80),
-summed AS (SELECT query_id, doc_id, round(sum(round(1 / (1 + abs(bm25)), 8)), 6) AS score FROM best GROUP BY ALL)
+summed AS (SELECT query_id, doc_id, round(sum(round(1 / (1 + abs(bm25)), 8)::DECIMAL(18,8))::DOUBLE, 6) AS score FROM best GROUP BY ALL)
 SELECT * FROM summed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 80""",
     "c3_path_symbol": f"""WITH {QUERY_TERMS}, d AS (SELECT DISTINCT term FROM terms), live AS (SELECT * FROM code_signals WHERE deleted_at IS NULL),
 hits AS (SELECT path, term, 1.0::DOUBLE AS hit FROM source_files, d WHERE contains(lower(path), term)
@@ -108,9 +109,9 @@ best AS (SELECT path, term, max(hit) AS hit FROM hits GROUP BY ALL), summed AS (
 SELECT * FROM summed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) <= 80""",
     "c4_direct_text": """WITH queries AS (SELECT DISTINCT query_id, query_text FROM ranked_chunks),
 words AS (SELECT query_id, unnest(regexp_split_to_array(query_text, '\\s+')) AS probe FROM queries),
-probes AS (SELECT DISTINCT query_id, replace(lower(probe), 'ß', 'ss') AS probe FROM words WHERE length(probe) >= 3),
+probes AS (SELECT DISTINCT query_id, translate(replace(lower(probe), 'ß', 'ss'), 'ςſ', 'σs') AS probe FROM words WHERE length(probe) >= 3),
 counts AS (SELECT query_id, count(*) AS probes FROM probes GROUP BY ALL),
-texts AS (SELECT file_id, replace(lower(concat_ws(chr(10), path, content)), 'ß', 'ss') AS text FROM source_files JOIN file_texts USING (file_id)),
+texts AS (SELECT file_id, translate(replace(lower(concat_ws(chr(10), path, content)), 'ß', 'ss'), 'ςſ', 'σs') AS text FROM source_files JOIN file_texts USING (file_id)),
 found AS (SELECT query_id, file_id, count(*) AS hits, bool_or(length(probe) >= 8 OR regexp_matches(probe, '[\\x{3400}-\\x{9fff}]{4}')) AS strong FROM probes JOIN texts ON contains(text, probe) GROUP BY ALL),
 scored AS (SELECT query_id, file_id, hits, round(CASE WHEN NOT strong THEN least(0.5::DOUBLE, hits / least(probes, 6)::DOUBLE) ELSE least(1.0::DOUBLE, greatest(0.6::DOUBLE, hits / least(probes, 6)::DOUBLE)) END, 6) AS score FROM found JOIN counts USING (query_id))
 SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hits DESC, file_id) <= 80""",
