@@ -46,24 +46,27 @@ def expand(seeds: DataFrame, walkable: DataFrame, hops: int = MOST_HOPS) -> Data
 
     Every level is one join on the signal id with the best score per query and signal kept.
     Only what beats the score a signal already has goes on: a factor is at most one, so
-    nothing that starts from a lower score could. Edges and levels are written once each.
+    nothing that starts from a lower score could. Edges and levels are written once each
+    (building the result runs all levels but the last).
     """
-    walkable = cut_lineage(walkable.repartition("from_id"))
-    best = cut_lineage(seeds.groupBy("query_id", "signal_id").agg(F.max("score").alias("score")).withColumn("hops", F.lit(0)))
-    frontier = best
+    walkable = cut_lineage(walkable)
+    key = ["query_id", "signal_id"]
+    best = cut_lineage(seeds.groupBy(*key).agg(F.max("score").alias("score")).withColumns({"hops": F.lit(0), "moved": F.lit(True)}))
     for hop in range(1, hops + 1):
         reached = (
-            frontier.join(walkable, F.col("signal_id") == F.col("from_id"))
-            .select("query_id", F.col("to_id").alias("signal_id"), F.round(F.col("score") * F.col("factor"), 9).alias("score"))
-            .groupBy("query_id", "signal_id")
-            .agg(F.max("score").alias("score"))
+            best.filter("moved")
+            .join(walkable, F.col("signal_id") == F.col("from_id"))
+            .select("query_id", F.col("to_id").alias("signal_id"), F.round(F.col("score") * F.col("factor"), 9).alias("now"))
+            .groupBy(*key)
+            .agg(F.max("now").alias("now"))
         )
-        before = best.select("query_id", "signal_id", F.col("score").alias("_had"))
-        better = reached.join(before, ["query_id", "signal_id"], "left").filter(F.col("_had").isNull() | (F.col("score") > F.col("_had")))
-        frontier = cut_lineage(better.select("query_id", "signal_id", "score", F.lit(hop).alias("hops")))
-        beaten = best.join(frontier.select("query_id", "signal_id"), ["query_id", "signal_id"], "left_anti")
-        best = beaten.select(*frontier.columns).unionByName(frontier)
-    return best.select("query_id", "signal_id", "score", "hops")
+        moved = F.col("now").isNotNull() & (F.col("score").isNull() | (F.col("now") > F.col("score")))
+        best = best.drop("moved").join(reached, key, "full_outer").select(
+            *key, F.greatest("score", "now").alias("score"), F.when(moved, F.lit(hop)).otherwise(F.col("hops")).alias("hops"), moved.alias("moved")
+        )
+        if hop < hops:
+            best = cut_lineage(best)
+    return best.select(*key, "score", "hops")
 
 
 def resolve_targets(relations: DataFrame, signals: DataFrame) -> DataFrame:
