@@ -279,8 +279,9 @@ def placed(rows: DataFrame) -> DataFrame:
     clamped = (F.col("evidence_priority") > 0) & F.coalesce(F.col("pre_ceiling") > F.col("ceiling"), F.lit(False))
     rows = rows.withColumn("clamped", clamped).withColumn("below", F.when(F.col("clamped"), F.col("ceiling")).otherwise(F.col("pre_ceiling")))
     first = F.max(F.struct("below", "chunk_id", "unit")).over(query)
-    units = F.size(F.collect_set(F.when(F.coalesce("unit", F.lit("")) != "", F.col("unit"))).over(query))
-    astray = (units > 1) & (F.coalesce("unit", F.lit("")) != "") & (F.coalesce(first["unit"], F.lit("")) != "") & (F.col("unit") != first["unit"])
+    named = F.when(F.coalesce("unit", F.lit("")) != "", F.col("unit"))
+    several = F.min(named).over(query) != F.max(named).over(query)
+    astray = F.coalesce(several, F.lit(False)) & (F.coalesce("unit", F.lit("")) != "") & (F.coalesce(first["unit"], F.lit("")) != "") & (F.col("unit") != first["unit"])
     rows = rows.withColumn("rerank", F.round(F.col("below") - F.when(astray, 0.05).otherwise(0.0), 9)).withColumn("role_priority", _of_role("role", 0))
     keys = [
         F.desc(F.round("rerank", 3)), "evidence_priority", F.when(F.col("clamped"), 0).otherwise(1), F.desc(F.when(F.col("clamped"), F.col("pre_ceiling")).otherwise(0.0)),
