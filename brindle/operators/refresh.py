@@ -17,10 +17,11 @@ def latest_snapshot(observations: DataFrame, generation: Column | None = None) -
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """``added``, ``deleted``, ``changed``, ``touched`` (only times differ) or ``unchanged`` per
-    file. Both have ``repo_key, path, sha256, mtime_ns``."""
-    a = before.select(*KEY, F.lower("sha256").alias("a_sha"), F.col("mtime_ns").alias("a_time"))
-    b = after.select(*KEY, F.lower("sha256").alias("b_sha"), F.col("mtime_ns").alias("b_time"))
-    state = F.when(F.col("a_sha").isNull(), "added").when(F.col("b_sha").isNull(), "deleted").when(F.col("a_sha") != F.col("b_sha"), "changed").when(~F.col("a_time").eqNullSafe(F.col("b_time")), "touched").otherwise("unchanged")
+    file. Both have ``repo_key, path, sha256, mtime_ns``; a null digest is a content of its
+    own, so a file without one is neither new nor gone."""
+    a = before.select(*KEY, F.lower("sha256").alias("a_sha"), F.col("mtime_ns").alias("a_time"), F.lit(True).alias("in_a"))
+    b = after.select(*KEY, F.lower("sha256").alias("b_sha"), F.col("mtime_ns").alias("b_time"), F.lit(True).alias("in_b"))
+    state = F.when(F.col("in_a").isNull(), "added").when(F.col("in_b").isNull(), "deleted").when(~F.col("a_sha").eqNullSafe(F.col("b_sha")), "changed").when(~F.col("a_time").eqNullSafe(F.col("b_time")), "touched").otherwise("unchanged")
     return a.join(b, KEY, "full_outer").select(*KEY, state.alias("state"))
 
 
@@ -54,12 +55,22 @@ def health(row: DataFrame) -> DataFrame:
     return row.withColumn("health", state)
 
 
-def upserted(base: DataFrame, changes: DataFrame, removed: DataFrame, key: str) -> DataFrame:
-    """A new generation: rows of ``base`` that are neither replaced nor removed, and the changes."""
-    gone = changes.select(key).unionByName(removed.select(key)).distinct()
-    return base.join(gone, key, "left_anti").unionByName(changes)
+def upserted(base: DataFrame, changes: DataFrame, removed: DataFrame, key: list[str], gone_key: str) -> DataFrame:
+    """A new generation: rows of ``base`` that no change of their ``key`` replaces, and the
+    changes; of both without those whose ``gone_key`` is removed. Null keys match nothing."""
+    kept = base.join(changes.select(*key).distinct(), key, "left_anti").unionByName(changes)
+    return kept.join(removed.select(gone_key).distinct(), gone_key, "left_anti")
 
 
 def purgeable(rows: DataFrame, share: float = 0.05, most: int = 5000) -> DataFrame:
     """Whether tombstones are due to be purged: beyond a share of the rows or a number."""
     return rows.agg(F.count("*").alias("total"), F.count_if(F.col("deleted_at").isNotNull()).alias("tombstones")).withColumn("purge", (F.col("tombstones") > F.col("total") * share) | (F.col("tombstones") > most))
+
+
+def purged(rows: DataFrame, key: str, share: float = 0.05, most: int = 5000, batch: int = 5000) -> DataFrame:
+    """``rows`` without their ``batch`` oldest tombstones, if a purge is due; else as they
+    are. The batch bounds what one purge removes; the next takes the rest."""
+    due = purgeable(rows, share, most).select("purge")
+    dead = rows.filter(F.col("deleted_at").isNotNull()).crossJoin(F.broadcast(due)).filter("purge")  # one row
+    oldest = dead.select(key, "deleted_at").distinct().orderBy("deleted_at", key).limit(batch)
+    return rows.join(oldest, [key, "deleted_at"], "left_anti")

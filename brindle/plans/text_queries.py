@@ -27,18 +27,18 @@ def b1_document_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def b2_symbol_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Signals on the chunks they overlap."""
-    files = table(spark, d, "source_files").groupBy("path").agg(F.min("file_id").alias("file_id")).join(table(spark, d, "file_texts"), "file_id")
-    chunks = chunking.line_chunks(files, "path", "content").select("path", "chunk_id", "start_line", "end_line")
+    files = table(spark, d, "source_files").select("file_id", "path").join(table(spark, d, "file_texts"), "file_id")
+    chunks = chunking.line_chunks(files, "path", "content").select("file_id", "path", "chunk_id", "start_line", "end_line")
     signals = table(spark, d, "code_signals").filter(F.col("deleted_at").isNull()).select(F.col("file_path").alias("path"), "signal_id", "start_line", "end_line").distinct()
-    return chunking.overlapping(chunks, signals, "path").select("chunk_id", "signal_id", "r_start", "r_end")
+    return chunking.overlapping(chunks, signals, "path").select("file_id", "chunk_id", "signal_id", "r_start", "r_end")
 
 
 def b3_containing_chunk(spark: SparkSession, d: str) -> DataFrame:
     """The first chunk that holds the start of a signal."""
-    files = table(spark, d, "source_files").groupBy("path").agg(F.min("file_id").alias("file_id")).join(table(spark, d, "file_texts"), "file_id")
-    chunks = chunking.line_chunks(files, "path", "content").select("path", F.col("chunk_id").alias("held_by"), "start_line", "end_line")
+    files = table(spark, d, "source_files").select("file_id", "path").join(table(spark, d, "file_texts"), "file_id")
+    chunks = chunking.line_chunks(files, "path", "content").select("file_id", "path", F.col("chunk_id").alias("held_by"), "start_line", "end_line")
     signals = table(spark, d, "code_signals").filter(F.col("deleted_at").isNull()).select(F.col("file_path").alias("path"), "signal_id", "start_line", F.col("start_line").alias("end_line")).distinct()
-    return chunking.overlapping(chunks, signals, "path").groupBy("signal_id").agg(F.min_by("held_by", F.struct("start_line", "held_by")).alias("held_by"))
+    return chunking.overlapping(chunks, signals, "path").groupBy("file_id", "signal_id").agg(F.min_by("held_by", F.struct("start_line", "held_by")).alias("held_by"))
 
 
 def b4_postings(spark: SparkSession, d: str) -> DataFrame:
@@ -59,6 +59,12 @@ def b7_distinct_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "code_signals").select("signal_id", "recorded_at", F.array_join(distinct_lower(tokens), " ").alias("tokens")).distinct()
 
 
+def b8_distinct_names(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of a signal without repeats, letter case and order kept."""
+    rows = table(spark, d, "code_signals").filter(F.col("tokens").isNotNull())
+    return rows.select("signal_id", "recorded_at", F.array_join(F.array_distinct(F.array_compact("tokens")), " ").alias("tokens")).distinct()
+
+
 def b20_module_signals(spark: SparkSession, d: str) -> DataFrame:
     """One module vertex per file, on its first chunk."""
     files = table(spark, d, "source_files").select("file_id", "repo_key", "path").join(table(spark, d, "file_texts"), "file_id")
@@ -68,9 +74,9 @@ def b20_module_signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def b22_capped_signals(spark: SparkSession, d: str) -> DataFrame:
-    """At most 8 live signals per file, in source order."""
+    """At most 4,096 live signals per file, in source order."""
     live = table(spark, d, "code_signals").filter(F.col("deleted_at").isNull()).select("file_path", "signal_id", "start_line", "end_line").distinct()
-    return chunking.first_per_group(live, ["file_path"], ["start_line", "end_line", "signal_id"], 8).select("file_path", "signal_id", "position")
+    return chunking.first_per_group(live, ["file_path"], ["start_line", "end_line", "signal_id"], 4096).select("file_path", "signal_id", "position")
 
 
 def b23_merged_relations(spark: SparkSession, d: str) -> DataFrame:
@@ -132,22 +138,22 @@ chunks AS (SELECT *, sha256(path || ':' || start_line || '-' || end_line || ':'
 
 
 SOURCE_TEXTS = "WITH files AS (SELECT f.file_id, f.path, t.content AS text FROM source_files f JOIN file_texts t USING (file_id)), "
-PATH_TEXTS = "WITH firsts AS (SELECT path, min(file_id) AS file_id FROM source_files GROUP BY path), files AS (SELECT f.file_id, f.path, t.content AS text FROM firsts f JOIN file_texts t USING (file_id)), "
 LIVE_SIGNALS = "live AS (SELECT DISTINCT file_path AS path, signal_id, start_line, end_line FROM code_signals WHERE deleted_at IS NULL)"
 UNITS = "marked AS (SELECT repo_key, regexp_replace(path, '/?[^/]*$', '') AS unit, CASE string_split(path, '/')[-1] " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MARKERS.items()) + " END AS kind FROM source_files), units AS (SELECT repo_key, unit, min(kind) AS kind FROM marked WHERE kind IS NOT NULL GROUP BY ALL)"
 
-QUERIES = {f.__name__: f for f in (b1_line_chunks, b1_document_chunks, b2_symbol_overlap, b3_containing_chunk, b4_postings, b5_cjk_groups, b7_distinct_tokens, b20_module_signals, b22_capped_signals, b23_merged_relations, b24_local_tokens, b25_project_units, b26_deepest_units, a16_request_texts, b_chunk_ids)}
+QUERIES = {f.__name__: f for f in (b1_line_chunks, b1_document_chunks, b2_symbol_overlap, b3_containing_chunk, b4_postings, b5_cjk_groups, b7_distinct_tokens, b8_distinct_names, b20_module_signals, b22_capped_signals, b23_merged_relations, b24_local_tokens, b25_project_units, b26_deepest_units, a16_request_texts, b_chunk_ids)}
 
 ORACLES = {
     "b1_line_chunks": SOURCE_TEXTS + sql_chunks("files", "file_id", 80) + " SELECT chunk_id, file_id, start_line, end_line, length(content) AS chars FROM chunks",
     "b1_document_chunks": "WITH " + sql_chunks("documents", "doc_id", 8) + " SELECT chunk_id, doc_id, start_line, end_line FROM chunks",
-    "b2_symbol_overlap": PATH_TEXTS + sql_chunks("files", "file_id", 80) + ", " + LIVE_SIGNALS + " SELECT c.chunk_id, s.signal_id, s.start_line AS r_start, s.end_line AS r_end FROM chunks c JOIN live s ON s.path = c.path AND c.start_line <= s.end_line AND s.start_line <= c.end_line",
-    "b3_containing_chunk": PATH_TEXTS + sql_chunks("files", "file_id", 80) + ", " + LIVE_SIGNALS + " SELECT s.signal_id, arg_min(c.chunk_id, (c.start_line, c.chunk_id)) AS held_by FROM chunks c JOIN live s ON s.path = c.path AND s.start_line BETWEEN c.start_line AND c.end_line GROUP BY s.signal_id",
+    "b2_symbol_overlap": SOURCE_TEXTS + sql_chunks("files", "file_id", 80) + ", " + LIVE_SIGNALS + " SELECT c.file_id, c.chunk_id, s.signal_id, s.start_line AS r_start, s.end_line AS r_end FROM chunks c JOIN live s ON s.path = c.path AND c.start_line <= s.end_line AND s.start_line <= c.end_line",
+    "b3_containing_chunk": SOURCE_TEXTS + sql_chunks("files", "file_id", 80) + ", " + LIVE_SIGNALS + " SELECT c.file_id, s.signal_id, arg_min(c.chunk_id, (c.start_line, c.chunk_id)) AS held_by FROM chunks c JOIN live s ON s.path = c.path AND s.start_line BETWEEN c.start_line AND c.end_line GROUP BY c.file_id, s.signal_id",
     "b4_postings": f"WITH t AS (SELECT doc_id, list_transform({sql_tokens('text')}, lambda x: lower(x)) AS tokens FROM documents), p AS (SELECT doc_id, len(tokens) AS length, unnest(tokens) AS term FROM t) SELECT doc_id, term, count(*) AS tf, length FROM p GROUP BY ALL",
     "b5_cjk_groups": rf"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS w FROM documents), g AS (SELECT doc_id, unnest(list_concat(list_transform(range(1, length(w)), lambda i: substring(w, i, 2)), list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3)))) AS grp FROM w) SELECT doc_id, grp, count(*) AS n FROM g WHERE regexp_matches(grp, '[\x{{3400}}-\x{{9fff}}]') GROUP BY ALL",
     "b7_distinct_tokens": f"WITH t AS (SELECT signal_id, recorded_at, list_transform(list_concat({sql_tokens('name')}, coalesce(tokens, []::VARCHAR[])), lambda x: lower(x)) AS l FROM code_signals) SELECT DISTINCT signal_id, recorded_at, array_to_string(list_transform(list_filter(list_transform(l, lambda x, i: (x, i)), lambda p: p[1] IS NOT NULL AND list_position(l, p[1]) = p[2]), lambda p: p[1]), ' ') AS tokens FROM t",
+    "b8_distinct_names": "SELECT DISTINCT signal_id, recorded_at, array_to_string(list_filter(tokens, lambda x, i: x IS NOT NULL AND list_position(tokens, x) = i), ' ') AS tokens FROM code_signals WHERE tokens IS NOT NULL",
     "b20_module_signals": SOURCE_TEXTS + sql_chunks("files", "file_id", 80) + " SELECT file_id, chunk_id, replace(regexp_replace(path, '\\.[^./]+$', ''), '/', '.') AS name, 'module' AS kind FROM chunks WHERE start_line = 1",
-    "b22_capped_signals": "WITH live AS (SELECT DISTINCT file_path, signal_id, start_line, end_line FROM code_signals WHERE deleted_at IS NULL) SELECT file_path, signal_id, row_number() OVER (PARTITION BY file_path ORDER BY start_line, end_line, signal_id)::INT AS position FROM live QUALIFY position <= 8",
+    "b22_capped_signals": "WITH live AS (SELECT DISTINCT file_path, signal_id, start_line, end_line FROM code_signals WHERE deleted_at IS NULL) SELECT file_path, signal_id, row_number() OVER (PARTITION BY file_path ORDER BY start_line, end_line, signal_id)::INT AS position FROM live QUALIFY position <= 4096",
     "b23_merged_relations": "SELECT relation_id, count(*) AS occurrences, max(confidence) AS confidence, min((recorded_at, source_file_path))[2] AS first_path FROM code_relations WHERE deleted_at IS NULL GROUP BY relation_id",
     "b24_local_tokens": "SELECT signal_id, max(len(list_distinct(list_filter(list_transform(coalesce(tokens, []::VARCHAR[]), lambda x: lower(x)), lambda x: x <> '' AND contains(lower(name), x)))))::INT AS kept FROM code_signals GROUP BY signal_id",
     "b25_project_units": "WITH " + UNITS + " SELECT * FROM units",
