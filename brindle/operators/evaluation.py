@@ -51,18 +51,21 @@ def case_metrics(ranked: DataFrame, case: str) -> DataFrame:
     )
 
 
-def grouped_metrics(cases: DataFrame, groups: list[str]) -> DataFrame:
-    """Overall and per value of each of ``groups`` in one pass: ``grouping, value, cases,
-    hits, hit_rate, mrr, latency_p50, latency_p95``. Each case counts once per grouping."""
-    pairs = F.array(F.struct(F.lit("overall").alias("grouping"), F.lit("all").alias("value")), *[F.struct(F.lit(g).alias("grouping"), F.col(g).cast("string").alias("value")) for g in groups])
-    spread = cases.select("hit_10", "reciprocal_rank", "latency", F.explode(pairs).alias("p")).select("p.*", "hit_10", "reciprocal_rank", "latency")
+def grouped_metrics(cases: DataFrame, groups: list[str], measure: str, tags: str | None = None) -> DataFrame:
+    """Overall, per value of each of ``groups`` and per tag of the array ``tags``, in one pass:
+    ``grouping, value, cases, hits, hit_rate, mrr`` and the nearest-rank percentiles of
+    ``measure``. A case counts once per grouping, and once per distinct tag."""
+    named = lambda g, value: F.struct(F.lit(g).alias("grouping"), value.cast("string").alias("value"))
+    pairs = F.array(named("overall", F.lit("all")), *[named(g, F.col(g)) for g in groups])
+    if tags is not None:
+        pairs = F.concat(pairs, F.transform(F.array_distinct(F.coalesce(tags, F.array().cast("array<string>"))), lambda t: named("tag", t)))
+    spread = cases.select("hit_10", "reciprocal_rank", measure, F.explode(pairs).alias("p")).select("p.*", "hit_10", "reciprocal_rank", measure)
     return spread.groupBy("grouping", "value").agg(
         F.count("*").alias("cases"),
         F.count_if("hit_10").alias("hits"),
         F.round(F.count_if("hit_10") / F.count("*"), 6).alias("hit_rate"),
         F.round(F.avg("reciprocal_rank"), 6).alias("mrr"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY latency)").alias("latency_p50"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency)").alias("latency_p95"),
+        *[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{measure}`)").alias(f"{measure}_p{int(p * 100)}") for p in (0.5, 0.95)],
     )
 
 
@@ -79,6 +82,53 @@ def compare_reports(before: DataFrame, after: DataFrame, case: str) -> DataFrame
     return a.join(b, case, "full_outer").select(case, status.alias("status"), delta.alias("rank_delta"))
 
 
+def metric_means(cases: DataFrame, metrics: list[str]) -> DataFrame:
+    """``metric, mean`` over the cases; values of six digits are added exactly."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
+    long = cases.select(pairs.alias("p")).select("p.*").filter(F.col("value").isNotNull())
+    return long.groupBy("metric").agg((F.sum(F.round(F.col("value") * 1_000_000).cast("bigint")) / F.count("*") / 1e6).alias("mean"))
+
+
+def metric_deltas(before: DataFrame, after: DataFrame, metrics: list[str]) -> DataFrame:
+    """Means of both reports and their difference, per metric; one that a report lacks is null."""
+    a, b = metric_means(before, metrics).withColumnRenamed("mean", "before"), metric_means(after, metrics).withColumnRenamed("mean", "after")
+    return a.join(b, "metric", "full_outer").select("metric", F.round("before", 5).alias("before"), F.round("after", 5).alias("after"), F.round(F.col("after") - F.col("before"), 5).alias("delta"))
+
+
+def case_status(gate: Column, failed: Column) -> Column:
+    """A required case passes or fails; a known gap that holds is expected, one that does not
+    is told apart; an informational case never fails."""
+    return F.when(~failed, F.when(gate == "known_gap", "unexpected_pass").otherwise("pass")).when(gate == "required", "fail").when(gate == "known_gap", "expected_gap").otherwise("info")
+
+
+def first_ranks(ranked: DataFrame, targets: DataFrame, case: str) -> DataFrame:
+    """``case, target, rank``: the first position whose path a target's matcher meets, null
+    if none does. ``ranked`` has ``case, path, position``; ``targets`` has ``case, target`` and
+    one of ``path``, ``contains`` or ``pattern`` (a regular expression, see ``glob_pattern``)."""
+    wanted = targets.select(case, "target", F.col("path").alias("_path"), "contains", "pattern")
+    met = F.coalesce(F.col("path") == F.col("_path"), F.contains("path", "contains"), F.regexp_like("path", F.col("pattern")), F.lit(False))
+    found = wanted.join(ranked.select(case, "path", "position"), case, "left")
+    return found.groupBy(case, "target").agg(F.min(F.when(met, F.col("position"))).alias("rank"))
+
+
+def order_checks(ranks: DataFrame, rules: DataFrame, case: str) -> DataFrame:
+    """``case, better, worse, holds``: a rule holds if ``better`` is among the first ``top_k``
+    and ``worse`` is not before it. ``ranks`` as ``first_ranks``."""
+    better = ranks.select(case, F.col("target").alias("better"), F.col("rank").alias("b"))
+    worse = ranks.select(case, F.col("target").alias("worse"), F.col("rank").alias("w"))
+    joined = rules.join(better, [case, "better"], "left").join(worse, [case, "worse"], "left")
+    holds = F.coalesce((F.col("b") <= F.col("top_k")) & (F.col("w").isNull() | (F.col("b") < F.col("w"))), F.lit(False))
+    return joined.select(case, "better", "worse", holds.alias("holds"))
+
+
+def coverage(ranks: DataFrame, case: str, depth: int = 5) -> DataFrame:
+    """Share of each case's targets that stand among the first ``depth``, and the mean
+    reciprocal rank of the best one: ``case, targets, covered, reciprocal_rank``."""
+    return ranks.groupBy(case).agg(
+        F.count("*").alias("targets"), F.round(F.count_if(F.col("rank") <= depth) / F.count("*"), 6).alias("covered"), F.round(F.coalesce(1 / F.min("rank"), F.lit(0.0)), 6).alias("reciprocal_rank")
+    )
+
+
 def redacted(text: Column) -> Column:
     """Secrets and home directories taken out of error texts."""
     text = F.regexp_replace(text, r"(?i)(api[_-]?key|token|secret|password)(\s*[=:]\s*)\S+", "$1$2[redacted]")

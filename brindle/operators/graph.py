@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brindle.operators.ranking import part
 from brindle.session import cut_lineage
 
 # Weights of the relation kinds that are followed, the loss per step,
@@ -42,7 +43,9 @@ def steps(relations: DataFrame) -> DataFrame:
 def expand(seeds: DataFrame, walkable: DataFrame, hops: int = MOST_HOPS) -> DataFrame:
     """Signals reached from the seeds of each query with their best score, fewest steps
     first among equals: ``query_id, signal_id, score, hops``. ``seeds`` has ``query_id,
-    signal_id, score``; seeds keep their own score. A step multiplies by the edge's factor.
+    signal_id, score`` and may have ``follow_tests``; seeds keep their own score. A step
+    multiplies by the edge's factor. Edges of the kind ``tests`` are walked only for queries
+    that ask for tests.
 
     Every level is one join on the signal id with the best score per query and signal kept.
     Only what beats the score a signal already has goes on: a factor is at most one, so
@@ -51,18 +54,19 @@ def expand(seeds: DataFrame, walkable: DataFrame, hops: int = MOST_HOPS) -> Data
     """
     walkable = cut_lineage(walkable)
     key = ["query_id", "signal_id"]
-    best = cut_lineage(seeds.groupBy(*key).agg(F.max("score").alias("score")).withColumns({"hops": F.lit(0), "moved": F.lit(True)}))
+    asks = seeds if "follow_tests" in seeds.columns else seeds.withColumn("follow_tests", F.lit(False))
+    best = cut_lineage(asks.groupBy(*key).agg(F.max("score").alias("score"), F.max("follow_tests").alias("follow_tests")).withColumns({"hops": F.lit(0), "moved": F.lit(True)}))
     for hop in range(1, hops + 1):
         reached = (
             best.filter("moved")
-            .join(walkable, F.col("signal_id") == F.col("from_id"))
-            .select("query_id", F.col("to_id").alias("signal_id"), F.round(F.col("score") * F.col("factor"), 9).alias("now"))
+            .join(walkable, (F.col("signal_id") == F.col("from_id")) & (F.col("follow_tests") | (F.col("kind") != "tests")))
+            .select("query_id", F.col("to_id").alias("signal_id"), F.round(F.col("score") * F.col("factor"), 9).alias("now"), F.col("follow_tests").alias("asks_tests"))
             .groupBy(*key)
-            .agg(F.max("now").alias("now"))
+            .agg(F.max("now").alias("now"), F.max("asks_tests").alias("asks_tests"))
         )
         moved = F.col("now").isNotNull() & (F.col("score").isNull() | (F.col("now") > F.col("score")))
         best = best.drop("moved").join(reached, key, "full_outer").select(
-            *key, F.greatest("score", "now").alias("score"), F.when(moved, F.lit(hop)).otherwise(F.col("hops")).alias("hops"), moved.alias("moved")
+            *key, F.greatest("score", "now").alias("score"), F.when(moved, F.lit(hop)).otherwise(F.col("hops")).alias("hops"), moved.alias("moved"), F.coalesce("follow_tests", "asks_tests").alias("follow_tests")
         )
         if hop < hops:
             best = cut_lineage(best)
@@ -105,7 +109,15 @@ def test_subjects(files: DataFrame) -> DataFrame:
     return counted.select("repo_key", "test_path", "path", "position")
 
 
-def seed_scores(parts: Column) -> Column:
-    """The score a direct candidate seeds the graph with: literal text, else path and
-    symbols, else meaning."""
-    return F.coalesce(F.element_at(parts, "direct_text"), F.element_at(parts, "path_symbol") / 5, F.element_at(parts, "semantic"))
+def relation_seeds(rows: DataFrame) -> DataFrame:
+    """The score a candidate seeds the graph with, and where it comes from: ``query_id,
+    chunk_id, score, source, priority``, of ``score_parts``. A relation comes before a signal,
+    that before literal text, an anchor, and the signal of a planner, which counts .65;
+    scores lie between 0 and 1. What has none of them seeds nothing."""
+    held = lambda *keys: F.greatest(F.lit(0.0), *[part(k) for k in keys])
+    sources = [("relation", held("relation"), 1.0), ("signal", held("signal"), 1.0), ("direct", held("direct_text"), 1.0), ("anchor", held("anchored_relation", "same_file_anchor", "directory_anchor"), 1.0), ("planner_signal", held("planner_signal"), 0.65)]
+    chain = None
+    for priority, (name, score, share) in enumerate(sources):
+        made = F.struct((F.least(score, F.lit(1.0)) * share).alias("score"), F.lit(name).alias("source"), F.lit(priority).alias("priority"))
+        chain = F.when(score > 0, made) if chain is None else chain.when(score > 0, made)
+    return rows.select("query_id", "chunk_id", chain.alias("seed")).filter(F.col("seed").isNotNull()).select("query_id", "chunk_id", "seed.*")

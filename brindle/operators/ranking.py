@@ -44,20 +44,6 @@ def max_normalised(value: Column, group: str) -> Column:
     return F.when(largest <= 0, 0.0).otherwise(F.greatest(known, F.lit(0.0)) / largest)
 
 
-def evidence_class() -> Column:
-    """How a candidate was found, from its parts."""
-    strong = (part("direct_text") >= 0.6) | ((part("lexical") >= 0.25) & (part("token_coverage") >= 0.2)) | (part("path_symbol") >= 1.0) | (part("signal") >= 0.5) | (effective_semantic() >= 0.35)
-    planner = (part("planner_lexical") > 0) | (part("planner_path_symbol") > 0) | (part("planner_signal") > 0) | (part("planner_semantic") > 0)
-    return (
-        F.when(strong, "original_direct")
-        .when((part("direct_text") > 0) | (part("lexical") > 0) | (part("path_symbol") > 0), "weak_original_direct")
-        .when(planner, "planner_direct")
-        .when(part("original_relation") > 0, "original_relation")
-        .when(part("planner_relation") > 0, "planner_relation")
-        .otherwise("weak_or_generic")
-    )
-
-
 def evidence_priority(name: Column) -> Column:
     # Fixed values.
     order = {"original_direct": 0, "weak_original_direct": 1, "planner_direct": 1, "original_relation": 2, "planner_relation": 3}
@@ -102,33 +88,6 @@ def context_window(start: Column, end: Column, lines: Column, before: int = 8, a
     return F.struct(F.greatest(F.lit(1), start - before).alias("start_line"), F.least(lines, end + after).alias("end_line"))
 
 
-# Penalties by the role of a file's path, and the boost of source files.
-ROLE_SCORES = {"test": -0.10, "generated": -0.20, "lockfile": -0.20, "template": -0.08, "doc": -0.03, "config": -0.03, "source": 0.03, "other": 0.0}
-LOCKFILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "go.sum", "Cargo.lock", "uv.lock")
-
-
-def file_role(path: Column) -> Column:
-    """What a path says about its file, the first rule that fits."""
-    lowered, name = F.lower(path), F.element_at(F.split(path, "/"), -1)
-    return (
-        F.when(name.isin(*LOCKFILES), "lockfile")
-        .when(lowered.rlike(r"(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*$|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$|tests?\.java$"), "test")
-        .when(lowered.rlike(r"(^|/)(generated|dist|build|target)/|\.min\.js$|_pb2\.py$|\.pb\.go$|\.g\.ts$|\.gen\.[a-z]+$"), "generated")
-        .when(lowered.rlike(r"(^|/)templates?/|\.(tmpl|tpl|ftl|mustache|hbs)$"), "template")
-        .when(lowered.rlike(r"\.(md|rst|txt|adoc)$|(^|/)docs?/"), "doc")
-        .when(lowered.rlike(r"\.(ya?ml|json|toml|ini|properties|xml|conf)$|(^|/)(conf|config|settings)/"), "config")
-        .when(lowered.rlike(r"\.(java|py|go|ts|tsx|js|jsx|kt|rs|rb|c|cc|cpp|h|cs|scala|vue)$"), "source")
-        .otherwise("other")
-    )
-
-
-def role_score(role: Column) -> Column:
-    chain = F.lit(0.0)
-    for key, value in ROLE_SCORES.items():
-        chain = F.when(role == key, value).otherwise(chain)
-    return chain
-
-
 def token_coverage(query_tokens: Column, chunk_tokens: Column) -> Column:
     """Share of the query's tokens, repeats counted, that the chunk has."""
     held = F.size(F.filter(query_tokens, lambda t: F.array_contains(chunk_tokens, t)))

@@ -317,3 +317,27 @@ def split_results(rows: DataFrame, most: int = 12) -> DataFrame:
     order = Window.partitionBy("query_id", anchor).orderBy("b.position")
     limit = F.when(anchor, max(1, min(5, most // 3)) if most else 0).otherwise(most)
     return single.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("query_id", F.col("b.chunk_id").alias("chunk_id"), "path", "kind", "place")
+
+
+# How names of implementations and of related types end.
+IMPLEMENTATION_NAME = r"^(?:[^.]*(?:service|serviceimpl|impl)\..*|[^.]*(?:service|serviceimpl|impl|executor|exe|gateway|mapper|repository)(?:\..*)?)$"
+RELATED_NAME = r"(?:dto|vo|request|response|query|querytype|domain|type|enum|entity|model|bean)$|domain"
+
+
+def summary_groups(results: DataFrame) -> DataFrame:
+    """Per query the sorted distinct names of ``entry_points`` (endpoints, else controllers),
+    ``implementation`` (members before types), ``related_types`` and ``possibly_legacy``
+    (types beside which nothing else was found), comma-separated. ``results`` has ``query_id,
+    path, names, symbols, kinds`` of the chunks shown, which are few per query."""
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", "")
+    every = F.array_distinct(F.concat("names", F.array(stem)))
+    controller = F.exists(every, lambda n: F.lower(n).rlike("controller$"))
+    entry = F.when(F.array_contains("kinds", "endpoint"), F.col("names")).when(controller, F.array(stem)).otherwise(F.array().cast("array<string>"))
+    implementing = F.filter(every, lambda n: F.lower(n).rlike(IMPLEMENTATION_NAME))
+    members = F.filter(implementing, lambda n: F.contains(n, F.lit(".")))
+    related = F.filter(every, lambda n: F.lower(n).rlike(RELATED_NAME))
+    rows = results.withColumns({"entry": entry, "impl": F.when(F.size(members) > 0, members).otherwise(implementing), "related": related})
+    unused = (F.size("entry") == 0) & (F.size("impl") == 0)
+    rows = rows.withColumns({"legacy": F.when(unused, F.col("related")).otherwise(F.array().cast("array<string>")), "kept": F.when(unused, F.array().cast("array<string>")).otherwise(F.col("related"))})
+    named = {"entry": "entry_points", "impl": "implementation", "kept": "related_types", "legacy": "possibly_legacy"}
+    return rows.groupBy("query_id").agg(*[F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), ",").alias(name) for c, name in named.items()])

@@ -7,9 +7,10 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions.text import identifier_tokens
+from brindle.functions.text import distinct_lower, identifier_tokens
 from brindle.operators import graph, lookup, refresh
 from brindle.operators.chunking import first_per_group
+from brindle.operators.intent import TARGETS, with_query_intent
 from brindle.sources import trees
 from brindle.sources.tables import table
 
@@ -186,8 +187,11 @@ def d15_graph_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e4_expansion(spark: SparkSession, d: str) -> DataFrame:
-    """Signals within four steps of the seeds of each query."""
-    return graph.expand(_seeds(spark, d), graph.steps(_relations(spark, d)))
+    """Signals within four steps of the seeds of each query; over tests only where the query
+    asks for them."""
+    texts = table(spark, d, "ranked_chunks").select("query_id", "query_text").distinct().withColumn("query_tokens", distinct_lower(identifier_tokens(F.col("query_text"))))
+    asks = with_query_intent(texts).select("query_id", F.array_contains("targets", "test").alias("follow_tests"))
+    return graph.expand(_seeds(spark, d).join(asks, "query_id"), graph.steps(_relations(spark, d)))
 
 
 def e5_confidence(spark: SparkSession, d: str) -> DataFrame:
@@ -268,7 +272,8 @@ SEEDS = """sem AS (SELECT query_id, chunk_id, score_parts['semantic'] AS score F
 seeds AS (SELECT query_id, signal_id, round(max(s.score), 6) AS score FROM sem s JOIN live USING (chunk_id) WHERE s.score IS NOT NULL AND NOT isnan(s.score) GROUP BY ALL)"""
 STEPS = f"""usable AS (SELECT source_signal_id AS s, target_signal_id AS t, kind, {CONF} AS c, round(({CONF}) * ({WEIGHT}) * 0.8::DOUBLE, 9) AS factor FROM rel WHERE resolution IN ('resolved_exact', 'resolved_unique')),
 walk AS (SELECT s AS f, t, kind, factor FROM usable WHERE c >= 0.5 AND factor IS NOT NULL UNION ALL SELECT t, s, kind, factor FROM usable WHERE c >= 0.5 AND factor IS NOT NULL AND kind NOT IN ('calls', 'imports', 'routes_to', 'uses_type')),
-steps AS (SELECT f, t, max(factor) AS factor FROM walk WHERE f IS NOT NULL AND t IS NOT NULL AND f <> t GROUP BY f, t)"""
+steps AS (SELECT f, t, kind = 'tests' AS over_tests, max(factor) AS factor FROM walk WHERE f IS NOT NULL AND t IS NOT NULL AND f <> t GROUP BY ALL),
+asks AS (SELECT query_id, bool_or(list_has_any(regexp_extract_all(lower(query_text), '[a-z0-9_]+'), """ + str([w for w in TARGETS["test"].split() if w.isascii()]) + """) OR contains(query_text, '测试')) AS follow_tests FROM ranked_chunks GROUP BY query_id)"""
 LATEST = """latest AS (SELECT repo_key, path, max((observation_generation, received_at, lower(sha256), mtime_ns)) AS n FROM source_observations GROUP BY ALL),
 diff AS (SELECT coalesce(a.repo_key, b.repo_key) AS repo_key, coalesce(a.path, b.path) AS path,
   CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.n[3] IS DISTINCT FROM lower(b.sha256) THEN 'changed' WHEN a.n[4] IS DISTINCT FROM b.mtime_ns THEN 'touched' ELSE 'unchanged' END AS state
@@ -320,7 +325,7 @@ UNION ALL SELECT 'active_associations', count(*) FROM rel WHERE kind = 'tests' U
     "d18_orphan_relations": f"WITH {LIVE} SELECT kind, count(*) AS relations FROM rel WHERE NOT EXISTS (SELECT 1 FROM live WHERE live.chunk_id = rel.source_chunk_id) GROUP BY ALL",
     "d19_purge": "SELECT count(*) AS total, count(*) FILTER (deleted_at IS NOT NULL) AS tombstones, tombstones > total * 0.05 OR tombstones > 5000 AS purge FROM code_signals",
     "e4_expansion": f"""WITH {LIVE}, {SEEDS}, {STEPS},
-""" + ",\n".join(f"h{n} AS (SELECT query_id, t AS signal_id, max(round(score * factor, 9)) AS score FROM {'seeds' if n == 1 else f'h{n - 1}'} JOIN steps ON signal_id = f GROUP BY ALL)" for n in range(1, 5)) + """,
+""" + ",\n".join(f"h{n} AS (SELECT query_id, t AS signal_id, max(round(score * factor, 9)) AS score FROM {'seeds' if n == 1 else f'h{n - 1}'} JOIN steps ON signal_id = f JOIN asks USING (query_id) WHERE follow_tests OR NOT over_tests GROUP BY ALL)" for n in range(1, 5)) + """,
 every AS (SELECT query_id, signal_id, score, 0 AS hops FROM seeds""" + "".join(f" UNION ALL SELECT query_id, signal_id, score, {n} FROM h{n}" for n in range(1, 5)) + """)
 SELECT query_id, signal_id, max((score, -hops))[1] AS score, (-max((score, -hops))[2])::INT AS hops FROM every GROUP BY ALL""",
     "e5_confidence": f"SELECT relation_id, max(round({CONF}, 6)) AS confidence FROM code_relations GROUP BY relation_id",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.text import distinct_lower, identifier_tokens, text_lines
-from brindle.operators import intent, rerank
+from brindle.operators import conventions, graph, intent, rerank
 from brindle.operators.lookup import live
 from brindle.plans.text_queries import sql_lines, sql_tokens
 from brindle.sources.tables import table
@@ -94,6 +94,49 @@ def f30_split(spark: SparkSession, d: str) -> DataFrame:
     return rerank.split_results(reranked(spark, d)).select("query_id", "chunk_id", "path", "kind", "place")
 
 
+def f5_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence classes from the parts and the coverage, counted beside the recorded ones."""
+    recorded = table(spark, d, "ranked_chunks").groupBy("query_id", "chunk_id").agg(F.min("evidence_class").alias("recorded"))
+    rows = reranked(spark, d).select("query_id", "chunk_id", "evidence_class", "evidence_priority").join(recorded, ["query_id", "chunk_id"])
+    return rows.groupBy("recorded", "evidence_class").agg(F.count("*").alias("candidates"), F.max("evidence_priority").alias("priority"))
+
+
+def f32_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Names of entry points, implementations, related types and possibly unused types among
+    the results of each query."""
+    results = rerank.split_results(reranked(spark, d)).filter("kind = 'result'").select("query_id", "chunk_id")
+    return rerank.summary_groups(results.join(_chunks(spark, d), "chunk_id"))
+
+
+def g1_pack_items(spark: SparkSession, d: str) -> DataFrame:
+    """Results with their lines as items of an evidence pack of 16,384 bytes, best first."""
+    results = rerank.split_results(reranked(spark, d)).filter("kind = 'result'")
+    sized = results.join(_chunks(spark, d).select("chunk_id", F.octet_length(F.coalesce("content", F.lit(""))).cast("bigint").alias("bytes")), "chunk_id")
+    order = rerank.Window.partitionBy("query_id").orderBy("place").rowsBetween(rerank.Window.unboundedPreceding, 0)
+    return sized.withColumn("total", F.sum("bytes").over(order)).filter(F.col("total") <= 16_384).select("query_id", "path", "chunk_id", "place", "bytes", "total")
+
+
+def e3_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds of the graph: candidates found by a path or symbol count as signals here, since
+    the recorded parts name no signals."""
+    rows = table(spark, d, "ranked_chunks").dropDuplicates(["query_id", "chunk_id"])
+    parts = F.map_filter(F.transform_keys("score_parts", lambda k, v: F.when(k == "path_symbol", "signal").when(k == "semantic", "planner_signal").otherwise(k)), lambda k, v: v.isNotNull() & ~F.isnan(v))
+    seeds = graph.relation_seeds(rows.withColumn("score_parts", parts))
+    return seeds.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "source", "priority")
+
+
+def e10_test_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Tests and the file their convention leads to; a unit is a top directory."""
+    files = table(spark, d, "source_files").select("repo_key", F.when(F.instr("path", "/") > 0, F.substring_index("path", "/", 1)).otherwise("").alias("unit"), F.regexp_replace("path", "^[^/]*/", "").alias("path"), "is_test", "is_generated")
+    return conventions.test_targets(files)
+
+
+def a6_test_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are tests by their path, and what their tests could be about."""
+    inner = F.regexp_replace("path", "^[^/]*/", "")
+    return table(spark, d, "source_files").select("file_id", conventions.is_test_path(inner).alias("is_test_path"), F.array_join(conventions.production_candidates(inner), ",").alias("candidates"))
+
+
 def _sql_role() -> str:
     """The rules of paths as a CASE over low, path and code."""
     whens = " ".join(f"WHEN {' AND '.join(f'regexp_matches({which}, {_quoted(pattern)})' for which, pattern in patterns)} THEN {{'name': '{name}', 'priority': {priority}}}" for name, priority, patterns in intent.PATH_RULES)
@@ -214,7 +257,7 @@ final AS (SELECT *, round(below - CASE WHEN coalesce(several AND own_unit <> fir
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rerank, 3) DESC, evidence_priority, CASE WHEN clamped THEN 0 ELSE 1 END, CASE WHEN clamped THEN pre_ceiling ELSE 0 END DESC, {_map(rerank.CHUNK_ROLES, 0)}[role], rerank DESC, combined DESC, path, start_line, chunk_id)::INT AS position FROM final)
 """
 
-QUERIES = {f.__name__: f for f in (f12_path_roles, f14_intents, f14_document_intents, f15_identifiers, f11_noise, f6_rerank, f6_parts, f10_reranked_order, f26_rank_tiers, f30_split)}
+QUERIES = {f.__name__: f for f in (f12_path_roles, f14_intents, f14_document_intents, f15_identifiers, f11_noise, f6_rerank, f6_parts, f10_reranked_order, f26_rank_tiers, f30_split, f5_evidence, f32_summary, g1_pack_items, e3_seeds, e10_test_targets, a6_test_paths)}
 
 ORACLES = {
     "f12_path_roles": f"WITH {FILES} SELECT file_id, r.name AS role, r.priority AS priority FROM (SELECT file_id, {_sql_role()} AS r FROM files)",
@@ -232,4 +275,12 @@ SELECT file_id, array_to_string(identifiers, ',') AS identifiers, array_to_strin
 best AS (SELECT query_id, path, kind, min(position) AS position, arg_min(chunk_id, position) AS chunk_id FROM kinds2 GROUP BY ALL),
 counted AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind <> 'result' ORDER BY position)::INT AS place FROM best)
 SELECT query_id, chunk_id, path, kind, place FROM counted WHERE place <= CASE WHEN kind = 'result' THEN 12 ELSE 4 END""",
+    "f5_evidence": RERANKED + "SELECT r.recorded, p.evidence_class, count(*) AS candidates, max(p.evidence_priority) AS priority FROM placed p JOIN (SELECT query_id, chunk_id, min(evidence_class) AS recorded FROM ranked_chunks GROUP BY ALL) r USING (query_id, chunk_id) GROUP BY ALL",
+    "g1_pack_items": RERANKED
+    + r""", best AS (SELECT query_id, path, min(position) AS position, arg_min(chunk_id, position) AS chunk_id FROM placed WHERE NOT regexp_matches(low, '(?:^|/)(?:readme|risks)[^/]*\.md$|(?:^|/)pom\.xml$') GROUP BY ALL),
+counted AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position)::INT AS place FROM best QUALIFY place <= 12),
+sized AS (SELECT c.*, strlen(coalesce(k.content, ''))::BIGINT AS bytes FROM counted c JOIN chunks k USING (chunk_id)), summed AS (SELECT *, (sum(bytes) OVER (PARTITION BY query_id ORDER BY place ROWS UNBOUNDED PRECEDING))::BIGINT AS total FROM sized)
+SELECT query_id, path, chunk_id, place, bytes, total FROM summed WHERE total <= 16384""",
+    "e3_seeds": """WITH c AS (SELECT DISTINCT ON (query_id, chunk_id) query_id, chunk_id, coalesce(CASE WHEN NOT isnan(score_parts['path_symbol']) THEN score_parts['path_symbol'] END, 0) AS s, coalesce(CASE WHEN NOT isnan(score_parts['semantic']) THEN score_parts['semantic'] END, 0) AS p FROM ranked_chunks)
+SELECT query_id, chunk_id, round(CASE WHEN s > 0 THEN least(s, 1.0::DOUBLE) ELSE least(p, 1.0::DOUBLE) * 0.65::DOUBLE END, 6) AS score, CASE WHEN s > 0 THEN 'signal' ELSE 'planner_signal' END AS source, CASE WHEN s > 0 THEN 1 ELSE 4 END AS priority FROM c WHERE s > 0 OR p > 0""",
 }
