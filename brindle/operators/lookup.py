@@ -67,3 +67,11 @@ def edges(relations: DataFrame, signals: DataFrame, side: str, most: int = 65) -
     held = weighted.join(ids, "signal_id", "left_semi")
     order = Window.partitionBy("signal_id").orderBy(F.desc("weight"), "kind", "relation_id")
     return held.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= most)
+
+
+def chunks_for_ids(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks by id in the order asked for: ``wanted`` has ``query_id, chunk_id, place``. Ids
+    asked for twice come at their first place; unknown ones are left out."""
+    first = wanted.groupBy("query_id", "chunk_id").agg(F.min("place").alias("place"))
+    order = Window.partitionBy("query_id").orderBy("place", "chunk_id")
+    return first.join(chunks, "chunk_id").withColumn("place", F.row_number().over(order))

@@ -184,6 +184,39 @@ def exact_vectors(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4
     return top(found, "query_id", [F.desc("cosine"), "vec_id"], k)
 
 
+def variant_vectors(variants: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of every variant of every query: ``query_id, vec_id, variant, source,
+    cosine``. ``variants`` has ``query_id, variant, source, vector``; the source ``original``
+    gives evidence of the key ``semantic``, any other ``planner_semantic``. A variant whose
+    vector is null is left out, as one that could not be embedded."""
+    numbered = variants.filter(F.col("vector").isNotNull()).select("query_id", "variant", "source", "vector", F.xxhash64("query_id", "variant").alias("_key"))
+    found = exact_vectors(numbered.select(F.col("_key").alias("query_id"), "vector"), vectors, k).withColumnRenamed("query_id", "_key")
+    key = F.when(F.col("source") == "original", "semantic").otherwise("planner_semantic")
+    return found.join(numbered.drop("vector"), "_key").select("query_id", "vec_id", "variant", key.alias("source"), "cosine")
+
+
+def merged_matches(matches: DataFrame) -> DataFrame:
+    """Per query and vector the best cosine of each source, and its matches by variant, best
+    first: ``query_id, vec_id, semantic, planner_semantic, variants``. A variant that was
+    searched twice counts with its better match."""
+    best = matches.groupBy("query_id", "vec_id", "variant", "source").agg(F.max("cosine").alias("cosine"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("o"), "variant"))), lambda m: m["variant"])
+    of = lambda s: F.max(F.when(F.col("source") == s, F.col("cosine"))).alias(s)
+    return best.groupBy("query_id", "vec_id").agg(of("semantic"), of("planner_semantic"), ordered.alias("variants"))
+
+
+def hint_parts(hints: DataFrame, texts: DataFrame, files: DataFrame, symbols: DataFrame, tokens: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Recall by the hints of a planner: ``query_id, path, key, value`` with the keys
+    ``planner_lexical`` and ``planner_path_symbol``. ``hints`` has ``query_id, term``;
+    ``texts`` has ``path, text``; the rest as in ``path_symbol``."""
+    scored = scored_postings(texts, "path", "text", hints)
+    whole = lexical_all(scored, hints, "path", limit)
+    rest = hints.join(whole.select("query_id").distinct(), "query_id", "left_anti")
+    lexical_rows = whole.unionByName(lexical_any(scored, rest, "path", limit)).select("query_id", "path", F.lit("planner_lexical").alias("key"), F.col("score").alias("value"))
+    named = path_symbol(hints, files, symbols, tokens, limit).select("query_id", "path", F.lit("planner_path_symbol").alias("key"), F.col("score").alias("value"))
+    return lexical_rows.unionByName(named)
+
+
 def in_scope(files: DataFrame, include: list[str], exclude: list[str], languages: list[str], code_only: bool, non_code: list[str]) -> DataFrame:
     """The hard filter before every recall: path patterns as regular expressions, languages, code only."""
     language = F.lower("language")

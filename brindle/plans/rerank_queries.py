@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.text import distinct_lower, identifier_tokens, text_lines
-from brindle.operators import conventions, graph, intent, rerank
-from brindle.operators.lookup import live
+from brindle.operators import conventions, graph, intent, refresh, rerank
+from brindle.operators.lookup import chunks_for_ids, live
+from brindle.plans.index_queries import LATEST
 from brindle.plans.text_queries import sql_lines, sql_tokens
+from brindle.sources import trees
 from brindle.sources.tables import table
 
 
@@ -116,6 +118,27 @@ def g1_pack_items(spark: SparkSession, d: str) -> DataFrame:
     return sized.withColumn("total", F.sum("bytes").over(order)).filter(F.col("total") <= 16_384).select("query_id", "path", "chunk_id", "place", "bytes", "total")
 
 
+def d1_ordered_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the candidates of each query in the order of their recorded scores."""
+    rows = table(spark, d, "ranked_chunks").filter(F.col("score").isNotNull() & ~F.isnan("score")).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    wanted = rows.select("query_id", "chunk_id", F.row_number().over(rerank.Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).alias("place"))
+    spans = live(table(spark, d, "code_signals")).filter(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.min("file_path").alias("path"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
+    return chunks_for_ids(wanted, spans).select("query_id", "place", "chunk_id", "path", "start_line", "end_line")
+
+
+def a19_packs(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of each query in that order as one JSON text of at most 2,048 bytes."""
+    return trees.packed_json(d1_ordered_chunks(spark, d).select("query_id", "place", "chunk_id", "path"), "query_id", "place", 2048)
+
+
+def i10_status(spark: SparkSession, d: str) -> DataFrame:
+    """State of each repository's files against its last observations, and of its last run."""
+    moved = refresh.snapshot_diff(refresh.latest_snapshot(table(spark, d, "source_observations")), table(spark, d, "source_files"))
+    counts = moved.groupBy("repo_key").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("added", "deleted", "changed", "touched", "unchanged")])
+    runs = table(spark, d, "index_runs").groupBy("repo_key").agg(F.max(F.struct("started_at", "run_id", "status"))["status"].alias("last_status"), F.max(F.when(F.col("status") == "succeeded", F.col("generation"))).alias("generation"))
+    return counts.join(runs, "repo_key", "full_outer")
+
+
 def e3_seeds(spark: SparkSession, d: str) -> DataFrame:
     """Seeds of the graph: candidates found by a path or symbol count as signals here, since
     the recorded parts name no signals."""
@@ -257,7 +280,12 @@ final AS (SELECT *, round(below - CASE WHEN coalesce(several AND own_unit <> fir
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rerank, 3) DESC, evidence_priority, CASE WHEN clamped THEN 0 ELSE 1 END, CASE WHEN clamped THEN pre_ceiling ELSE 0 END DESC, {_map(rerank.CHUNK_ROLES, 0)}[role], rerank DESC, combined DESC, path, start_line, chunk_id)::INT AS position FROM final)
 """
 
-QUERIES = {f.__name__: f for f in (f12_path_roles, f14_intents, f14_document_intents, f15_identifiers, f11_noise, f6_rerank, f6_parts, f10_reranked_order, f26_rank_tiers, f30_split, f5_evidence, f32_summary, g1_pack_items, e3_seeds, e10_test_targets, a6_test_paths)}
+ORDERED = """WITH c AS (SELECT query_id, chunk_id, max(score) AS score FROM ranked_chunks WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS turn FROM c),
+s AS (SELECT chunk_id, min(file_path) AS path, min(start_line) AS start_line, max(end_line) AS end_line FROM code_signals WHERE deleted_at IS NULL AND chunk_id IS NOT NULL GROUP BY ALL),
+ordered AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY turn)::INT AS place, chunk_id, path, start_line, end_line FROM w JOIN s USING (chunk_id))
+"""
+
+QUERIES = {f.__name__: f for f in (f12_path_roles, f14_intents, f14_document_intents, f15_identifiers, f11_noise, f6_rerank, f6_parts, f10_reranked_order, f26_rank_tiers, f30_split, f5_evidence, f32_summary, g1_pack_items, d1_ordered_chunks, a19_packs, i10_status, e3_seeds, e10_test_targets, a6_test_paths)}
 
 ORACLES = {
     "f12_path_roles": f"WITH {FILES} SELECT file_id, r.name AS role, r.priority AS priority FROM (SELECT file_id, {_sql_role()} AS r FROM files)",
@@ -281,6 +309,13 @@ SELECT query_id, chunk_id, path, kind, place FROM counted WHERE place <= CASE WH
 counted AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position)::INT AS place FROM best QUALIFY place <= 12),
 sized AS (SELECT c.*, strlen(coalesce(k.content, ''))::BIGINT AS bytes FROM counted c JOIN chunks k USING (chunk_id)), summed AS (SELECT *, (sum(bytes) OVER (PARTITION BY query_id ORDER BY place ROWS UNBOUNDED PRECEDING))::BIGINT AS total FROM sized)
 SELECT query_id, path, chunk_id, place, bytes, total FROM summed WHERE total <= 16384""",
+    "d1_ordered_chunks": ORDERED + "SELECT * FROM ordered",
+    "a19_packs": ORDERED
+    + """, items AS (SELECT query_id, place, '{"place":' || place || ',"chunk_id":"' || chunk_id || '","path":"' || path || '"}' AS item FROM ordered),
+summed AS (SELECT *, sum(strlen(item) + 1) OVER (PARTITION BY query_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS total FROM items), packed AS (SELECT query_id, '[' || string_agg(item, ',' ORDER BY place) || ']' AS json, count(*)::INT AS items FROM summed WHERE total + 1 <= 2048 GROUP BY ALL)
+SELECT *, strlen(json)::INT AS bytes FROM packed""",
+    "i10_status": f"""WITH {LATEST}, c AS (SELECT repo_key, """ + ", ".join(f"count(*) FILTER (state = '{s}') AS {s}" for s in ("added", "deleted", "changed", "touched", "unchanged")) + """ FROM diff GROUP BY ALL),
+r AS (SELECT repo_key, max((started_at, run_id, status))[3] AS last_status, max(generation) FILTER (status = 'succeeded') AS generation FROM index_runs GROUP BY ALL) SELECT * FROM c FULL JOIN r USING (repo_key)""",
     "e3_seeds": """WITH c AS (SELECT DISTINCT ON (query_id, chunk_id) query_id, chunk_id, coalesce(CASE WHEN NOT isnan(score_parts['path_symbol']) THEN score_parts['path_symbol'] END, 0) AS s, coalesce(CASE WHEN NOT isnan(score_parts['semantic']) THEN score_parts['semantic'] END, 0) AS p FROM ranked_chunks)
 SELECT query_id, chunk_id, round(CASE WHEN s > 0 THEN least(s, 1.0::DOUBLE) ELSE least(p, 1.0::DOUBLE) * 0.65::DOUBLE END, 6) AS score, CASE WHEN s > 0 THEN 'signal' ELSE 'planner_signal' END AS source, CASE WHEN s > 0 THEN 1 ELSE 4 END AS priority FROM c WHERE s > 0 OR p > 0""",
 }

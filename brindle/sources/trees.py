@@ -9,8 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from brindle.sources.commits import CommitLog
+from brindle.sources.commits import CommitLog, rotate
 
 # Directories that are never read, and languages by suffix.
 PRUNED = (".git", ".hg", ".svn", "node_modules", "dist", "build", "target", "__pycache__", ".venv", "venv", ".idea")
@@ -101,8 +102,10 @@ def read_config(*paths: str) -> dict:
     return merged
 
 
-def append_events(events: DataFrame, folder: str) -> None:
-    """Events as line-JSON; each call adds files and changes none."""
+def append_events(events: DataFrame, folder: str, most_bytes: int = 10 << 20) -> None:
+    """Events as line-JSON; each call adds files and changes none. A folder that has grown
+    beyond ``most_bytes`` is moved aside first."""
+    rotate(events.sparkSession, folder, most_bytes)
     events.write.mode("append").json(folder)
 
 
@@ -116,6 +119,19 @@ def result_json(rows: DataFrame, name: str = "json") -> DataFrame:
     return packed.withColumn("bytes", F.octet_length(name))
 
 
+def packed_json(rows: DataFrame, group: str, place: str, budget: int) -> DataFrame:
+    """Per group one compact JSON array of its rows in order of ``place``, as many as fit into
+    ``budget`` bytes exactly, brackets and commas counted: ``group, json, bytes, items``.
+    Keys are in the order of the columns."""
+    fields = [c for c in rows.columns if c != group]
+    items = rows.select(group, place, F.to_json(F.struct(*fields)).alias("_json")).withColumn("_bytes", F.octet_length("_json") + 1)
+    running = F.sum("_bytes").over(Window.partitionBy(group).orderBy(place, "_json").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = items.withColumn("_total", running).filter(F.col("_total") + 1 <= budget)
+    packed = kept.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(place, "_json"))).alias("_items"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("_items", lambda i: i["_json"]), ","), F.lit("]"))
+    return packed.select(group, text.alias("json"), F.size("_items").alias("items")).withColumn("bytes", F.octet_length("json"))
+
+
 def result_markdown(rows: DataFrame, most: int = 50) -> str:
     """A table for reading: the first ``most`` rows."""
     escape = lambda v: str("" if v is None else v).replace("|", "\\|").replace("\n", " ")
