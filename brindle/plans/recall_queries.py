@@ -135,7 +135,7 @@ rest AS (SELECT * FROM summed QUALIFY row_number() OVER (PARTITION BY query_id O
 d AS (SELECT DISTINCT term FROM terms), live AS (SELECT * FROM code_signals WHERE deleted_at IS NULL),
 hits AS (SELECT path, term, 1.0::DOUBLE AS hit FROM source_files, d WHERE contains(lower(path), term) UNION ALL SELECT file_path, term, 1.0 FROM live, d WHERE contains(lower(name), term)
   UNION ALL SELECT file_path, term, 0.25 FROM (SELECT file_path, lower(trim(unnest(tokens))) AS term FROM live) JOIN d USING (term)),
-held AS (SELECT path, term, max(hit) AS hit FROM hits GROUP BY ALL), named AS (SELECT query_id, path, sum(hit) AS value FROM terms JOIN held USING (term) GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sum(hit) DESC, path) <= 80)
+held AS (SELECT path, term, max(hit) AS hit FROM hits GROUP BY ALL), added AS (SELECT query_id, path, sum(hit) AS value FROM terms JOIN held USING (term) GROUP BY ALL), named AS (SELECT * FROM added QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY value DESC, path) <= 80)
 SELECT query_id, path, 'planner_lexical' AS key, value FROM every UNION ALL SELECT query_id, path, 'planner_lexical', value FROM rest UNION ALL SELECT query_id, path, 'planner_path_symbol', value FROM named"""
 
 QUERIES = {f.__name__: f for f in (c1_lexical_all, c2_lexical_any, c3_path_symbol, c4_direct_text, c6_signals, c8_nearest_vectors, c9_variant_recall, c10_hints, c13_merged_matches, c11_code_scope, c12_merged_evidence, c14_supported_queries)}
