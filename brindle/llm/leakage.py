@@ -161,20 +161,25 @@ def _slices(total: np.ndarray) -> int:
     return max(1, min(len(total), total.nbytes // SLICE_BYTES))
 
 
-def _added(parts: DataFrame) -> bytes:
+def _added(parts: DataFrame, dtype: type = np.float64) -> bytes:
     """Sums of byte rows per slice, added by the executors in a tree: no task adds more
-    than ``FAN`` rows of one slice; only the sums reach the driver."""
+    than ``FAN`` rows of one slice; only the sums reach the driver. Rows may come in less
+    than double precision; sums are in double."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(pdf["part"].iloc[0], dtype=np.float64).copy()
-        for part in pdf["part"].iloc[1:]:
-            total += np.frombuffer(part, dtype=np.float64)
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "branch": [pdf["branch"].iloc[0] // FAN], "part": [total.tobytes()]})
+    def adder(dtype: type) -> Callable:
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = np.frombuffer(pdf["part"].iloc[0], dtype=dtype).astype(np.float64)
+            for part in pdf["part"].iloc[1:]:
+                total += np.frombuffer(part, dtype=dtype)
+            return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "branch": [pdf["branch"].iloc[0] // FAN], "part": [total.tobytes()]})
+
+        return add
 
     held = parts.rdd.getNumPartitions()
     rows = parts.withColumn("branch", F.floor(F.spark_partition_id() / FAN).cast("int"))
     while True:
-        rows = rows.groupBy("slice", "branch").applyInPandas(add, "slice int, branch int, part binary")
+        rows = rows.groupBy("slice", "branch").applyInPandas(adder(dtype), "slice int, branch int, part binary")
+        dtype = np.float64
         held = -(-held // FAN)
         if held <= 1:
             break
@@ -226,7 +231,7 @@ def _gram_product(right: np.ndarray, idf: np.ndarray) -> Callable:
         for chunk in _chunks(batches):
             sparse = _sparse([c[3] for c in chunk], idf)
             _add_transposed(total, *sparse, _times(*sparse, right))
-        for n, part in enumerate(np.array_split(total, _slices(total))):
+        for n, part in enumerate(np.array_split(total.astype(np.float32), _slices(total))):
             yield pd.DataFrame({"slice": [n], "part": [part.tobytes()]})
 
     return run
@@ -260,8 +265,9 @@ def latent_space(sequences: DataFrame, own: list[np.ndarray], idf: np.ndarray, c
 
     def product(right: np.ndarray) -> np.ndarray:
         right = right.astype(np.float32)
-        parts = sequences.mapInPandas(_gram_product(right, idf), "slice int, part binary")
-        total = np.frombuffer(_added(parts), dtype=np.float64).reshape(-1, wide).copy() if corpus_passages else np.zeros((size, wide))
+        # One partial sum per core: what is added is a multiple of the cores, not of the splits.
+        parts = sequences.coalesce(sequences.sparkSession.sparkContext.defaultParallelism).mapInPandas(_gram_product(right, idf), "slice int, part binary")
+        total = np.frombuffer(_added(parts, np.float32), dtype=np.float64).reshape(-1, wide).copy() if corpus_passages else np.zeros((size, wide))
         mine = np.zeros((size, wide))
         _add_transposed(mine, *sparse, _times(*sparse, right))
         return total + share * mine
