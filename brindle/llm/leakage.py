@@ -340,7 +340,7 @@ def shared_runs(terms: np.ndarray, unspaced: bool, runs: tuple[np.ndarray, np.nd
     return found
 
 
-def _candidates(items: list[Item], basis: np.ndarray, idf: np.ndarray, least: float) -> Callable:
+def _candidates(items: list[Item], basis: np.ndarray, idf: np.ndarray, least: float, least_share: float) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, owners = item_passages(items)
         latent = _times(*_sparse(own, idf), basis)
@@ -348,6 +348,7 @@ def _candidates(items: list[Item], basis: np.ndarray, idf: np.ndarray, least: fl
         latent = latent.T.copy()
         unspaced_windows = np.array([items[n].unspaced for n in owners])
         runs = {kind: item_runs(items, kind) for kind in (False, True)}
+        own_terms = [frozenset(item.terms) for item in items]
         last, shared = None, {}
         for chunk in _chunks(batches):
             vectors = _times(*_sparse([c[3] for c in chunk], idf), basis)
@@ -361,10 +362,12 @@ def _candidates(items: list[Item], basis: np.ndarray, idf: np.ndarray, least: fl
             for place, n, cosine in zip(at.tolist(), owners[window].tolist(), near[at, window].tolist()):
                 if cosine > chosen.get((place, n), -2):
                     chosen[(place, n)] = cosine
+            whole: set[tuple[int, int]] = set()
             for place, (_, unspaced, start, _, terms) in enumerate(chunk):
                 if terms is not last:
                     last, shared = terms, shared_runs(np.asarray(terms), unspaced, runs[unspaced])
                 for n in shared.get(start, ()):
+                    whole.add((place, n))
                     if (place, n) not in chosen:
                         chosen[(place, n)] = float(near[place, owners == n].max())
             rows = []
@@ -374,8 +377,15 @@ def _candidates(items: list[Item], basis: np.ndarray, idf: np.ndarray, least: fl
                 width, step, need = shape(unspaced)
                 # The passage and the one beside it: a run goes on into it.
                 around = terms[max(0, start - step) : start + width + step]
+                if (place, n) not in whole:
+                    # No more can be common in order than stands in both at all.
+                    known = own_terms[n]
+                    if sum(t in known for t in around.tolist()) < least_share * len(item.terms):
+                        continue
                 run_length = longest_run(around, item.terms)
                 common = common_subsequence(around, item.terms)
+                if common < least_share * len(item.terms) and run_length < need:
+                    continue
                 extra = GRAM - 1 if unspaced and run_length else 0
                 rows.append((doc, item.item_id, cosine, run_length + extra, run_length >= need, common / len(item.terms)))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "longest_run", "leaked", "common_share"])
@@ -383,15 +393,17 @@ def _candidates(items: list[Item], basis: np.ndarray, idf: np.ndarray, least: fl
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, least: float = 0.6, rank: int = RANK, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """Candidate pairs with their checks: ``doc_id, item_id, cosine, longest_run, leaked,
+def leaked_items(documents: DataFrame, items: DataFrame, least: float = 0.6, rank: int = RANK, block_items: int = BLOCK_ITEMS, least_share: float = 0.5) -> DataFrame:
+    """Pairs that stand the checks: ``doc_id, item_id, cosine, longest_run, leaked,
     common_share, passages``.
 
     ``documents`` has ``doc_id, text``; ``items`` has ``item_id, lang, prompt, answer``.
     ``leaked`` says that the text holds a run of at least 12 consecutive words of the
     prompt (20 letters or digits for zh, ja and th); ``longest_run`` is its length within
     the passages around; ``common_share`` is the longest common subsequence of those
-    passages as a share of the prompt, which stays high for paraphrases.
+    passages as a share of the prompt, which stays high for paraphrases. Candidates that
+    hold no whole run and have less than ``least_share`` in common are no pairs; so are told
+    apart, before the costly checks, those with too few words in common in any order.
 
     Null, blank and short texts and prompts give no rows; repeated items of one id count
     once, repeated documents give their pairs once; empty tables give no rows. The items
@@ -416,7 +428,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: float = 0.6, ran
     own, _ = item_passages(asked.items)
     basis = latent_space(sequences, own, idf, corpus, rank)
     blocks = [asked.items[n : n + block_items] for n in range(0, len(asked.items), block_items)]
-    found = functools.reduce(DataFrame.unionByName, [sequences.mapInPandas(_candidates(block, basis, idf, least), PAIRS) for block in blocks])
+    found = functools.reduce(DataFrame.unionByName, [sequences.mapInPandas(_candidates(block, basis, idf, least, least_share), PAIRS) for block in blocks])
     return found.groupBy("doc_id", "item_id").agg(
         F.max("cosine").alias("cosine"),
         F.max("longest_run").alias("longest_run"),
