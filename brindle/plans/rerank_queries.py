@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.text import distinct_lower, identifier_tokens, text_lines
-from brindle.operators import conventions, graph, intent, refresh, rerank
+from brindle.operators import conventions, extract, frontend, graph, intent, refresh, rerank
 from brindle.operators.lookup import chunks_for_ids, live
 from brindle.plans.index_queries import LATEST
 from brindle.plans.text_queries import sql_lines, sql_tokens
@@ -148,6 +148,31 @@ def e3_seeds(spark: SparkSession, d: str) -> DataFrame:
     return seeds.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "source", "priority")
 
 
+def f19_context(spark: SparkSession, d: str) -> DataFrame:
+    """What members of Java chunks have in common with the query of their candidate."""
+    rows = reranked(spark, d).select("query_id", "chunk_id", "path", "role", "query_tokens")
+    signals = live(table(spark, d, "code_signals")).select("chunk_id", "kind", "tokens").dropna(subset=["chunk_id"])
+    return frontend.java_context(rows.join(signals, "chunk_id"))
+
+
+def f22_frontend_roles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "source_files").select("file_id", frontend.frontend_role(F.col("path")).alias("role"))
+
+
+def f22_frontend_parts(spark: SparkSession, d: str) -> DataFrame:
+    """What frontend files are to the query of their candidate, where that is anything."""
+    rows = frontend.with_frontend_parts(reranked(spark, d).select("query_id", "chunk_id", "query_text", "path"))
+    some = (F.col("entrypoint_boost") > 0) | (F.col("support_boost") > 0) | (F.col("support_name_boost") > 0) | (F.col("frontend_penalty") < 0)
+    return rows.filter(some).select("query_id", "chunk_id", "frontend_role", *[F.round(c, 6).alias(c) for c in ("entrypoint_boost", "support_boost", "support_name_boost", "frontend_penalty")])
+
+
+def e11_cohorts(spark: SparkSession, d: str) -> DataFrame:
+    """Supporting files lifted by the pages and components that import them."""
+    texts = table(spark, d, "source_files").select("file_id", "path").join(table(spark, d, "file_texts"), "file_id").select("path", "content")
+    imports = extract.resolved_imports(extract.facts(texts), texts).select(F.col("path").alias("source_path"), F.col("target").alias("target_path"))
+    return frontend.import_cohorts(reranked(spark, d), imports).select("query_id", "chunk_id", F.round("rerank", 6).alias("rerank"), F.round("boosted", 6).alias("boosted"))
+
+
 def e10_test_targets(spark: SparkSession, d: str) -> DataFrame:
     """Tests and the file their convention leads to; a unit is a top directory."""
     files = table(spark, d, "source_files").select("repo_key", F.when(F.instr("path", "/") > 0, F.substring_index("path", "/", 1)).otherwise("").alias("unit"), F.regexp_replace("path", "^[^/]*/", "").alias("path"), "is_test", "is_generated")
@@ -285,7 +310,7 @@ s AS (SELECT chunk_id, min(file_path) AS path, min(start_line) AS start_line, ma
 ordered AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY turn)::INT AS place, chunk_id, path, start_line, end_line FROM w JOIN s USING (chunk_id))
 """
 
-QUERIES = {f.__name__: f for f in (f12_path_roles, f14_intents, f14_document_intents, f15_identifiers, f11_noise, f6_rerank, f6_parts, f10_reranked_order, f26_rank_tiers, f30_split, f5_evidence, f32_summary, g1_pack_items, d1_ordered_chunks, a19_packs, i10_status, e3_seeds, e10_test_targets, a6_test_paths)}
+QUERIES = {f.__name__: f for f in (f12_path_roles, f14_intents, f14_document_intents, f15_identifiers, f11_noise, f6_rerank, f6_parts, f10_reranked_order, f26_rank_tiers, f30_split, f5_evidence, f32_summary, g1_pack_items, d1_ordered_chunks, a19_packs, i10_status, f19_context, f22_frontend_roles, f22_frontend_parts, e11_cohorts, e3_seeds, e10_test_targets, a6_test_paths)}
 
 ORACLES = {
     "f12_path_roles": f"WITH {FILES} SELECT file_id, r.name AS role, r.priority AS priority FROM (SELECT file_id, {_sql_role()} AS r FROM files)",
@@ -316,6 +341,10 @@ summed AS (SELECT *, sum(strlen(item) + 1) OVER (PARTITION BY query_id ORDER BY
 SELECT *, strlen(json)::INT AS bytes FROM packed""",
     "i10_status": f"""WITH {LATEST}, c AS (SELECT repo_key, """ + ", ".join(f"count(*) FILTER (state = '{s}') AS {s}" for s in ("added", "deleted", "changed", "touched", "unchanged")) + """ FROM diff GROUP BY ALL),
 r AS (SELECT repo_key, max((started_at, run_id, status))[3] AS last_status, max(generation) FILTER (status = 'succeeded') AS generation FROM index_runs GROUP BY ALL) SELECT * FROM c FULL JOIN r USING (repo_key)""",
+    "f19_context": RERANKED
+    + """, m AS (SELECT p.query_id, p.chunk_id, p.role, s.kind FROM placed p JOIN code_signals s USING (chunk_id) WHERE s.deleted_at IS NULL AND s.kind IN ('method', 'field') AND ends_with(p.low, '.java') AND len(list_intersect(list_transform(p.query_tokens, lambda t: lower(t)), list_transform(coalesce(s.tokens, []), lambda t: lower(t)))) >= 2)
+SELECT query_id, chunk_id, max(CASE WHEN kind = 'method' THEN 0.14::DOUBLE ELSE 0 END) AS method, max(CASE WHEN kind = 'field' THEN 0.12::DOUBLE ELSE 0 END) AS field, max(CASE WHEN role = 'executor' THEN 0.10::DOUBLE ELSE 0 END) AS executor FROM m GROUP BY ALL""",
+    "f22_frontend_roles": r"WITH p AS (SELECT file_id, lower(path) AS low, CASE WHEN regexp_matches(lower(path), '(?:^|/)src/') THEN 'src/' || regexp_extract(lower(path), '(?:^|/)src/(.*)$', 1) ELSE lower(path) END AS src FROM source_files) SELECT file_id, CASE WHEN regexp_matches(low, '" + frontend.LOCKFILE + "') THEN 'lockfile' WHEN regexp_matches(low, '" + frontend.SCRATCH + "') THEN 'scratch_temp' WHEN NOT regexp_matches(low, '" + frontend.SOURCE + "') THEN 'other' " + " ".join(f"WHEN regexp_matches(src, '{pattern}') THEN '{name}'" for name, pattern in frontend.PLACES) + " ELSE 'other' END AS role FROM p",
     "e3_seeds": """WITH c AS (SELECT DISTINCT ON (query_id, chunk_id) query_id, chunk_id, coalesce(CASE WHEN NOT isnan(score_parts['path_symbol']) THEN score_parts['path_symbol'] END, 0) AS s, coalesce(CASE WHEN NOT isnan(score_parts['semantic']) THEN score_parts['semantic'] END, 0) AS p FROM ranked_chunks)
 SELECT query_id, chunk_id, round(CASE WHEN s > 0 THEN least(s, 1.0::DOUBLE) ELSE least(p, 1.0::DOUBLE) * 0.65::DOUBLE END, 6) AS score, CASE WHEN s > 0 THEN 'signal' ELSE 'planner_signal' END AS source, CASE WHEN s > 0 THEN 1 ELSE 4 END AS priority FROM c WHERE s > 0 OR p > 0""",
 }

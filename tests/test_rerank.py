@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import intent, rerank
+from brindle.operators import frontend, intent, rerank
 
 ROLES = {
     "src/stores/modules/auth.store.ts": ("state_store", 20), "src/views/chat/composables/useSseConnection.ts": ("composable", 20), "src/lib/useThing.ts": ("composable", 20), "src/views/chat/types.ts": ("data_type", 45), "src/views/auth/register.vue": ("view", 50),
@@ -133,3 +133,36 @@ def test_results_and_anchors_are_split(spark):
     got = rerank.split_results(spark.createDataFrame(rows, "query_id int, chunk_id string, path string, position int")).collect()
     assert [r.path for r in sorted(got, key=lambda r: r.place) if r.kind == "result"] == [f"src/f{n}.py" for n in range(12)]
     assert {(r.kind, r.chunk_id) for r in got if r.kind != "result"} == {("readme", "r"), ("pom", "p")}
+
+
+FRONTEND = {
+    "src/views/Home.vue": "view_page", "web/src/pages/a/Index.tsx": "view_page", "pages/index.tsx": "view_page", "src/components/layout/Bar.vue": "layout_component", "src/App.tsx": "layout_component", "src/components/Button.tsx": "shared_component",
+    "src/stores/auth.ts": "store", "src/api/user.ts": "service", "src/utils/format.ts": "utility", "src/types/a.ts": "type_decl", "src/env.d.ts": "type_decl", "src/router/index.ts": "route_config", "yarn.lock": "lockfile", "tmp/a.ts": "scratch_temp",
+    "src/main.py": "other", "lib/a.ts": "other",
+}
+
+
+def test_frontend_roles(spark):
+    got = {r.path: r.role for r in spark.createDataFrame([(p,) for p in FRONTEND], "path string").select("path", frontend.frontend_role(F.col("path")).alias("role")).collect()}
+    assert got == FRONTEND
+
+
+def test_frontend_parts(spark):
+    rows = [("image upload tool", "src/views/Home.vue"), ("photo remover page", "src/views/PhotoRemover.vue"), ("decode encode parse", "src/utils/codec.ts"), ("x", "yarn.lock"), ("package versions", "yarn.lock"), ("upload image page", "src/types/zone.ts"), (None, "src/views/Home.vue")]
+    df = spark.createDataFrame([(n, q, p) for n, (q, p) in enumerate(rows)], "n int, query_text string, path string")
+    got = {r.n: (round(r.entrypoint_boost, 4), round(r.support_boost, 4), r.support_name_boost, r.frontend_penalty) for r in frontend.with_frontend_parts(df).collect()}
+    assert got == {0: (0.35, 0.0, 0.0, 0.0), 1: (0.25, 0.0, 0.0, 0.0), 2: (0.0, 0.0972, 0.0, 0.0), 3: (0.0, 0.0, 0.0, -0.8), 4: (0.0, 0.0, 0.0, 0.0), 5: (0.0, 0.0, 0.0, -0.12), 6: (0.0, 0.0, 0.0, 0.0)}
+
+
+def test_import_cohorts(spark):
+    ranked = [(1, "v", "src/views/A.vue", 1.0, 1), (1, "s", "src/services/a.ts", 0.5, 2), (1, "u", "src/utils/u.ts", 0.9, 3), (1, "x", "src/utils/x.ts", 0.4, 4), (1, "p", "a.py", 0.3, 5)]
+    imports = spark.createDataFrame([("src/views/A.vue", "src/services/a.ts"), ("src/views/A.vue", "src/utils/u.ts"), ("src/views/A.vue", "a.py")], "source_path string, target_path string")
+    got = {r.chunk_id: r.boosted for r in frontend.import_cohorts(spark.createDataFrame(ranked, "query_id int, chunk_id string, path string, rerank double, position int"), imports).collect()}
+    assert got == {"s": 0.8, "u": 0.999}
+
+
+def test_java_context_and_route_tails(spark):
+    rows = spark.createDataFrame([(1, "c", "a/B.java", "executor", ["load", "user", "x"], "method", ["Load", "USER"]), (1, "c", "a/B.java", "executor", ["load", "user"], "field", ["load"]), (1, "g", "a/b.go", "executor", ["load", "user"], "method", ["load", "user"])], "query_id int, chunk_id string, path string, role string, query_tokens array<string>, kind string, tokens array<string>")
+    assert [tuple(r) for r in frontend.java_context(rows).collect()] == [(1, "c", 0.14, 0.0, 0.10)]
+    df = spark.createDataFrame([("/api/pageCatalog", ["AppPageCatalogQueryExe"], "executor"), ("/api/page", ["PageExe"], "executor"), ("/api/pageCatalog", ["PageExe"], "executor"), (None, ["PageExe"], "executor")], "route string, names array<string>, role string")
+    assert [r.v for r in df.select(frontend.route_tail(F.col("route"), F.col("names"), F.col("role")).alias("v")).collect()] == [0.22, 0.0, 0.0, 0.0]
