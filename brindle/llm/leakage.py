@@ -349,6 +349,8 @@ def _candidates(items: list[Item], basis: np.ndarray, idf: np.ndarray, least: fl
         unspaced_windows = np.array([items[n].unspaced for n in owners])
         runs = {kind: item_runs(items, kind) for kind in (False, True)}
         own_terms = [frozenset(item.terms) for item in items]
+        # What an item repeats may be common once more each time.
+        repeats = [len(item.terms) - len(own) for item, own in zip(items, own_terms)]
         last, shared = None, {}
         for chunk in _chunks(batches):
             vectors = _times(*_sparse([c[3] for c in chunk], idf), basis)
@@ -371,17 +373,19 @@ def _candidates(items: list[Item], basis: np.ndarray, idf: np.ndarray, least: fl
                     if (place, n) not in chosen:
                         chosen[(place, n)] = float(near[place, owners == n].max())
             rows = []
+            near_terms: dict[int, tuple[np.ndarray, frozenset]] = {}
             for (place, n), cosine in chosen.items():
                 doc, unspaced, start, _, terms = chunk[place]
                 item = items[n]
                 width, step, need = shape(unspaced)
-                # The passage and the one beside it: a run goes on into it.
-                around = terms[max(0, start - step) : start + width + step]
-                if (place, n) not in whole:
-                    # No more can be common in order than stands in both at all.
-                    known = own_terms[n]
-                    if sum(t in known for t in around.tolist()) < least_share * len(item.terms):
-                        continue
+                if place not in near_terms:
+                    # The passage and the one beside it: a run goes on into it.
+                    part = terms[max(0, start - step) : start + width + step]
+                    near_terms[place] = part, frozenset(part.tolist())
+                around, held = near_terms[place]
+                # No more can be common in order than stands in both at all.
+                if (place, n) not in whole and len(held & own_terms[n]) + repeats[n] < least_share * len(item.terms):
+                    continue
                 run_length = longest_run(around, item.terms)
                 common = common_subsequence(around, item.terms)
                 if common < least_share * len(item.terms) and run_length < need:
