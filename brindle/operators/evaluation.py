@@ -82,6 +82,47 @@ def compare_reports(before: DataFrame, after: DataFrame, case: str) -> DataFrame
     return a.join(b, case, "full_outer").select(case, status.alias("status"), delta.alias("rank_delta"))
 
 
+# What becomes of a required case by its status before and after, where it did
+# not pass both times, and which of these stop a release.
+REQUIRED_CHANGES = {
+    ("pass", "fail"): "regressed", ("pass", "error"): "regressed", ("pass", "skipped"): "regressed", ("fail", "pass"): "improved", ("fail", "fail"): "unchanged_fail", ("fail", "error"): "execution_regressed",
+    ("fail", "skipped"): "coverage_lost_required", ("error", "pass"): "improved", ("error", "fail"): "newly_evaluated_failure", ("error", "error"): "unchanged_error", ("error", "skipped"): "unchanged_unverified",
+    ("skipped", "pass"): "newly_verified", ("skipped", "fail"): "newly_evaluated_failure", ("skipped", "error"): "unchanged_unverified", ("skipped", "skipped"): "skipped",
+}
+STOPPING = ("regressed", "execution_regressed", "coverage_lost_required", "removed_required", "gate_weakened")
+
+
+def compare_cases(before: DataFrame, after: DataFrame, case: str) -> DataFrame:
+    """Case by case what changed between two reports, and whether it stops a release: ``case,
+    change, stops``. Both have ``case, gate, status, reciprocal_rank, hit_5, noise_5``; a null
+    gate is required. A required case that passes both times has regressed if it lost its hit
+    at 5, its reciprocal rank fell by more than .25 or noise grew by two, and improved the
+    other way round; a change of gate is told before anything else. Cases that are not
+    required are ``changed`` or ``same`` and stop nothing."""
+    fields = ("status", "reciprocal_rank", "hit_5", "noise_5")
+    side = lambda df, s: df.select(case, F.coalesce("gate", F.lit("required")).alias(f"{s}_gate"), *[F.col(f).alias(f"{s}_{f}") for f in fields], F.lit(True).alias(f"in_{s}"))
+    joined = side(before, "a").join(side(after, "b"), case, "full_outer")
+    rank, noise = F.col("b_reciprocal_rank") - F.col("a_reciprocal_rank"), F.col("b_noise_5") - F.col("a_noise_5")
+    worse = (F.col("a_hit_5") & ~F.col("b_hit_5")) | (rank < -0.25 - 1e-12) | (noise >= 2)
+    better = (~F.col("a_hit_5") & F.col("b_hit_5")) | (rank > 0.25 + 1e-12) | (noise <= -2)
+    both_pass = F.when(worse, "regressed").when(better, "improved").otherwise("unchanged_pass")
+    chain = F.when((F.col("a_status") == "pass") & (F.col("b_status") == "pass"), both_pass)
+    for (a, b), change in REQUIRED_CHANGES.items():
+        chain = chain.when((F.col("a_status") == a) & (F.col("b_status") == b), change)
+    required_a, required_b = F.col("a_gate") == "required", F.col("b_gate") == "required"
+    change = (
+        F.when(F.col("in_a").isNull(), "new_case")
+        .when(F.col("in_b").isNull(), F.when(required_a, "removed_required").otherwise("removed_observation"))
+        .when(required_a & ~required_b, "gate_weakened")
+        .when(~required_a & required_b, "gate_strengthened")
+        .when(F.col("a_gate") != F.col("b_gate"), "gate_changed_observation")
+        .when(required_a, chain)
+        .when((F.col("a_status") != F.col("b_status")) | worse | better, "changed")
+        .otherwise("same")
+    )
+    return joined.select(case, change.alias("change")).withColumn("stops", F.coalesce(F.col("change").isin(*STOPPING), F.lit(False)))
+
+
 def metric_means(cases: DataFrame, metrics: list[str]) -> DataFrame:
     """``metric, mean`` over the cases; values of six digits are added exactly."""
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))

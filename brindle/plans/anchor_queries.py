@@ -47,12 +47,16 @@ def _anchors(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(ranking_queries._paths(spark, d).select("chunk_id", "path"), "chunk_id")
 
 
+def _live_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.live(table(spark, d, "code_signals")).filter(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.min("file_path").alias("path"))
+
+
 def e1_same_file(spark: SparkSession, d: str) -> DataFrame:
-    return anchors.file_neighbours(_anchors(spark, d), ranking_queries._paths(spark, d), 36)
+    return anchors.file_neighbours(_anchors(spark, d), _live_chunks(spark, d), 36)
 
 
 def e2_same_directory(spark: SparkSession, d: str) -> DataFrame:
-    return anchors.directory_neighbours(_anchors(spark, d), ranking_queries._paths(spark, d), 36)
+    return anchors.directory_neighbours(_anchors(spark, d), _live_chunks(spark, d), 36)
 
 
 def e7_provenance(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +122,7 @@ def h14_gates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (c5_probes, c7_signal_scores, d6_members, d8_scope, e1_same_file, e2_same_directory, e7_provenance, f7_chunk_roles, f18_routes, f23_bonus, b19_modules, f34_variants, f36_profiles, h12_deltas, h14_gates)}
 
 LIVE = "live AS (SELECT * FROM code_signals WHERE deleted_at IS NULL), rel AS (SELECT * FROM code_relations WHERE deleted_at IS NULL)"
-ANCHORS = f"{CAND}, {PATHS}, anchors AS (SELECT query_id, chunk_id, score, path FROM cand JOIN paths USING (chunk_id) WHERE evidence_class = 'original_direct')"
+ANCHORS = f"{CAND}, {PATHS}, alive AS (SELECT chunk_id, min(file_path) AS path FROM code_signals WHERE chunk_id IS NOT NULL AND deleted_at IS NULL GROUP BY ALL), anchors AS (SELECT query_id, chunk_id, score, path FROM cand JOIN paths USING (chunk_id) WHERE evidence_class = 'original_direct')"
 FOLDER = "CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END"
 LOOSE = r"regexp_matches(path, '\.(md|ya?ml|json|xml|properties)$')"
 
@@ -133,8 +137,8 @@ h AS (SELECT query_id, signal_id FROM n JOIN live USING (signal_id) QUALIFY row_
 SELECT query_id, signal_id, round(sum(CASE WHEN contains(hay, term) THEN 1.0::DOUBLE WHEN contains(path, term) THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END) / count(*), 6) AS score FROM h JOIN live USING (signal_id) JOIN terms USING (query_id) GROUP BY ALL""",
     "d6_members": f"WITH {LIVE}, a AS (SELECT DISTINCT target_qualified_name AS q FROM rel WHERE coalesce(target_qualified_name, '') <> ''), l AS (SELECT q, string_split(q, '.')[-1] AS name FROM a WHERE q NOT IN (SELECT qualified_name FROM live WHERE qualified_name IS NOT NULL)) SELECT q AS target_qualified_name, count(DISTINCT signal_id) AS signals FROM l JOIN live USING (name) GROUP BY ALL",
     "d8_scope": f"WITH {LIVE}, f AS (SELECT repo_key, path, lower(language) AS language FROM source_files) SELECT DISTINCT f.repo_key, chunk_id, file_path AS path, f.language FROM live LEFT JOIN f ON f.path = file_path WHERE chunk_id IS NOT NULL",
-    "e1_same_file": f"WITH {ANCHORS}, n AS (SELECT a.query_id, p.chunk_id, round(max(a.score) * 0.80::DOUBLE, 6) AS score FROM anchors a JOIN paths p USING (path) WHERE NOT EXISTS (SELECT 1 FROM anchors x WHERE x.query_id = a.query_id AND x.chunk_id = p.chunk_id) GROUP BY ALL) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 36",
-    "e2_same_directory": f"WITH {ANCHORS}, l AS (SELECT query_id, score, {FOLDER} AS folder FROM anchors WHERE {LOOSE}), c AS (SELECT chunk_id, {FOLDER} AS folder FROM paths WHERE NOT {LOOSE}), n AS (SELECT l.query_id, c.chunk_id, round(max(l.score) * 0.55::DOUBLE, 6) AS score FROM l JOIN c USING (folder) WHERE NOT EXISTS (SELECT 1 FROM anchors x WHERE x.query_id = l.query_id AND x.chunk_id = c.chunk_id) GROUP BY ALL) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 36",
+    "e1_same_file": f"WITH {ANCHORS}, n AS (SELECT a.query_id, p.chunk_id, round(max(a.score) * 0.80::DOUBLE, 6) AS score FROM anchors a JOIN alive p USING (path) WHERE NOT EXISTS (SELECT 1 FROM anchors x WHERE x.query_id = a.query_id AND x.chunk_id = p.chunk_id) GROUP BY ALL) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 36",
+    "e2_same_directory": f"WITH {ANCHORS}, l AS (SELECT query_id, score, {FOLDER} AS folder FROM anchors WHERE {LOOSE}), c AS (SELECT chunk_id, {FOLDER} AS folder FROM alive WHERE NOT {LOOSE}), n AS (SELECT l.query_id, c.chunk_id, round(max(l.score) * 0.55::DOUBLE, 6) AS score FROM l JOIN c USING (folder) WHERE NOT EXISTS (SELECT 1 FROM anchors x WHERE x.query_id = l.query_id AND x.chunk_id = c.chunk_id) GROUP BY ALL) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 36",
     "e7_provenance": f"WITH {ANCHORS}, {LIVE}, i AS (SELECT DISTINCT source_chunk_id AS chunk_id, target_signal_id FROM rel WHERE resolution = 'resolved_exact' AND kind IN ('imports', 'imports_type') AND source_chunk_id IS NOT NULL AND target_signal_id IS NOT NULL) SELECT query_id, target_signal_id, count(*) AS anchors FROM anchors JOIN i USING (chunk_id) GROUP BY ALL",
     "f7_chunk_roles": rf"WITH {LIVE}, c AS (SELECT chunk_id, list(DISTINCT kind) AS k, min(file_path) AS path FROM live WHERE chunk_id IS NOT NULL GROUP BY ALL) SELECT CASE WHEN list_contains(k, 'endpoint') OR list_contains(k, 'route') THEN 'entrypoint' WHEN regexp_matches(path, '(Impl|Service)\.java$') THEN 'service_impl' WHEN regexp_matches(path, '(Executor|Worker|Handler|Job)\.[a-z]+$') THEN 'executor' WHEN list_contains(k, 'mybatis_statement') THEN 'data_access' WHEN list_contains(k, 'type') AND NOT list_contains(k, 'method') AND NOT list_contains(k, 'function') THEN 'data_type' ELSE 'other' END AS role, count(*) AS chunks FROM c GROUP BY ALL",
     "f18_routes": f"WITH {LIVE}, f AS (SELECT DISTINCT project_unit_key, signal_id, '/' || replace(qualified_name, '.', '/') AS route, rtrim(lower('/' || replace(qualified_name, '.', '/')), '/') AS r FROM live WHERE kind IN ('endpoint', 'route') AND coalesce(qualified_name, '') <> ''), w AS (SELECT project_unit_key, rtrim(lower(min(route)), '/') AS w FROM f GROUP BY ALL) SELECT signal_id, route, CASE WHEN w = r THEN 0.35::DOUBLE WHEN starts_with(r, w || '/') OR starts_with(w, r || '/') THEN 0.12::DOUBLE WHEN regexp_replace(w, '/[^/]*$', '') = regexp_replace(r, '/[^/]*$', '') THEN -0.18::DOUBLE ELSE -0.30::DOUBLE END AS score FROM f JOIN w USING (project_unit_key)",

@@ -167,3 +167,15 @@ def test_build_publishes_a_whole_index(spark, tmp_path):
 
 def test_a_cluster_has_to_name_its_folder(spark):
     assert shared_folder(spark)
+
+
+def test_changes_of_cases(spark):
+    schema = "id string, gate string, status string, reciprocal_rank double, hit_5 boolean, noise_5 int"
+    row = lambda i, gate="required", status="pass", rank=1.0, hit=True, noise=0: (i, gate, status, rank, hit, noise)
+    before = [row("same"), row("rank"), row("noise"), row("fails"), row("weak"), row("strong", "known_gap"), row("gone"), row("gone2", "informational"), row("fixed", status="fail"), row("lost", status="fail"), row("null", None), row("info", "informational", rank=0.2, hit=False)]
+    after = [row("same", rank=0.8), row("rank", rank=0.5), row("noise", noise=2), row("fails", status="fail"), row("weak", "known_gap"), row("strong"), row("new"), row("fixed"), row("lost", status="skipped"), row("null", None), row("info", "informational")]
+    got = {r.id: (r.change, r.stops) for r in evaluation.compare_cases(spark.createDataFrame(before, schema), spark.createDataFrame(after, schema), "id").collect()}
+    assert got == {
+        "same": ("unchanged_pass", False), "rank": ("regressed", True), "noise": ("regressed", True), "fails": ("regressed", True), "weak": ("gate_weakened", True), "strong": ("gate_strengthened", False), "gone": ("removed_required", True),
+        "gone2": ("removed_observation", False), "fixed": ("improved", False), "lost": ("coverage_lost_required", True), "null": ("unchanged_pass", False), "new": ("new_case", False), "info": ("changed", False),
+    }
