@@ -30,9 +30,9 @@ def local_session(cpus: str | int = "*", app: str = "brindle", **conf: str) -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``. Where it is unset, a local session
+    """The shared folder of ``spark.checkpoint.dir``, or that of the context. Where it is unset, a local session
     (as in tests) gets a temporary one; a cluster has to name its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
