@@ -50,7 +50,7 @@ def hash_strings(vectors: np.ndarray, made: np.ndarray, trees: int) -> np.ndarra
 
 def prefix_run(ordered: np.ndarray, keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
     """Where in a sorted array the keys that share the first ``level`` bits begin and end."""
-    rest = (np.int64(1) << (BITS - np.asarray(level, dtype=np.int64))) - 1
+    rest = np.int64((1 << BITS) - 1) >> np.asarray(level, dtype=np.int64)
     return np.searchsorted(ordered, keys & ~rest, "left"), np.searchsorted(ordered, keys | rest, "right")
 
 
