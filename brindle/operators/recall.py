@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from brindle.functions.text import distinct_lower, folded, identifier_tokens
 from brindle.operators.chunking import token_lists
 from brindle.operators.matching import contained
+from brindle.operators.sums import best_sums
 from brindle.session import cut_lineage
 
 LIMIT = 80
@@ -28,14 +29,18 @@ def scored_postings(texts: DataFrame, key: str, text: str, terms: DataFrame) ->
     """``term, key, bm25`` of the texts that hold a term of any query (k1 1.2, b 0.75): the
     score of a term in a text is the same for every query.
 
-    Of the tokens only those of query terms go beyond the task that reads a text; numbers
-    and lengths of texts are added up there too."""
+    Of the tokens only those of query terms go beyond the task that reads a text: the distinct
+    terms, part of the stated request, are sent to it. Texts are taken apart once; a text that has
+    tokens is counted, with its length, by a row of the term "", which no token is."""
     tokens = token_lists(texts, key, text)
-    asked = terms.select("term").distinct()
-    hits = tokens.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(asked, "term", "left_semi").groupBy("term", key).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    hits = cut_lineage(hits)  # read twice; texts are taken apart once for it
-    per_term = hits.groupBy("term").agg(F.count("*").alias("df"))
-    stats = tokens.select(F.size("tokens").alias("length")).filter("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    asked = terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    marked = F.concat(F.when(F.size("tokens") > 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")), "tokens")
+    rows = tokens.select(key, F.size("tokens").alias("length"), F.explode(marked).alias("term")).join(F.broadcast(asked), "term", "left_semi")
+    length = F.when(F.col("term") == "", F.sum("length")).otherwise(F.first("length"))
+    rows = cut_lineage(rows.groupBy("term", key).agg(F.count("*").alias("tf"), length.alias("length")))
+    hits = rows.filter(F.col("term") != "")
+    per_term = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))
+    stats = rows.filter(F.col("term") == "").agg(F.sum("tf").alias("n"), (F.sum("length") / F.sum("tf")).alias("mean"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     joined = hits.join(per_term, "term").join(F.broadcast(stats))  # one row
@@ -55,10 +60,9 @@ def _exact_sum(rounded: Column | str) -> Column:
 def lexical_all(scored: DataFrame, terms: DataFrame, key: str, limit: int = LIMIT) -> DataFrame:
     """Texts with every term of the query, best ``limit`` by BM25: ``query_id, key, score``.
     The score ``1 / (1 + bm25)`` falls with relevance while the cut goes by relevance."""
-    wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    whole = terms.join(scored, "term").groupBy("query_id", key).agg(F.round(_exact_sum("bm25"), 6).alias("bm25"), F.count("*").alias("held")).join(wanted, "query_id").filter(F.col("held") == F.col("wanted"))
-    best = top(whole, "query_id", [F.desc("bm25"), key], limit)
-    return best.select("query_id", key, F.round(1 / (1 + F.abs("bm25")), 8).alias("score"))
+    weights = scored.select("term", key, F.rint(F.col("bm25") * 100_000_000).cast("bigint").alias("weight"))
+    best = best_sums(terms, weights, key, limit, every=True, unit=100)
+    return best.select("query_id", key, F.round(1 / (1 + F.col("total") / 1_000_000), 8).alias("score"))
 
 
 def lexical_any(scored: DataFrame, terms: DataFrame, key: str, limit: int = LIMIT) -> DataFrame:
