@@ -99,8 +99,8 @@ def path_symbol(terms: DataFrame, files: DataFrame, symbols: DataFrame, tokens:
     by_name = symbols.select("path", "name").distinct().join(holding(symbols, "name"), "name").select("path", "term", F.lit(1.0).alias("hit"))
     by_token = tokens.select("path", "term").join(distinct_terms, "term").select("path", "term", F.lit(0.25).alias("hit"))
     best = by_path.unionByName(by_name).unionByName(by_token).groupBy("path", "term").agg(F.max("hit").alias("hit"))
-    summed = terms.join(best, "term").groupBy("query_id", "path").agg(F.sum("hit").alias("score"))
-    return top(summed, "query_id", [F.desc("score"), "path"], limit)
+    quarters = best.select("path", "term", (F.col("hit") * 4).cast("bigint").alias("weight"))
+    return best_sums(terms, quarters, "path", limit).select("query_id", "path", (F.col("total") / 4).alias("score"))
 
 
 def direct_score(hits: Column, strong: Column, probes: Column) -> Column:

@@ -65,3 +65,14 @@ def test_lexical_all_shuffles_no_row_per_query_and_text(spark):
     assert best.count() == 600
     assert {r.doc_id for r in best.collect()} == {0, 7}
     assert shuffled_rows(best) < 20_000
+
+
+def test_path_symbol_shuffles_no_row_per_query_and_path(spark):
+    files = spark.range(300).select(F.format_string("src/alpha/beta%03d.py", "id").alias("path"))
+    symbols = spark.createDataFrame([("src/alpha/beta007.py", "gammaRay"), ("z", "gamma")], "path string, name string")
+    tokens = spark.createDataFrame([("src/alpha/beta009.py", "gamma")], "path string, term string")
+    terms = recall.query_terms(spark.range(300).select(F.col("id").alias("query_id"), F.lit("alpha beta gamma").alias("query_text")))
+    best = recall.path_symbol(terms, files, symbols, tokens, 3)
+    assert {(r.path, r.score) for r in best.filter("query_id = 5").collect()} == {("src/alpha/beta007.py", 3.0), ("src/alpha/beta009.py", 2.25), ("src/alpha/beta000.py", 2.0)}
+    assert best.count() == 900
+    assert shuffled_rows(best) < 20_000
