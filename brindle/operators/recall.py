@@ -128,10 +128,10 @@ def signal_recall(terms: DataFrame, signals: DataFrame, limit: int) -> DataFrame
     hay = F.lower(F.concat_ws(" ", "name", F.array_join(F.coalesce("tokens", F.array().cast("array<string>")), " "), metadata))
     live = signals.filter(F.col("recallable") & F.col("deleted_at").isNull()).select("signal_id", "kind", "start_line", "end_line", "name", hay.alias("hay")).dropDuplicates(["signal_id"])
     held = contained(live, "signal_id", "hay", terms, "term").withColumnRenamed("probe", "term")
-    hits = terms.join(held, "term").groupBy("query_id", "signal_id").agg(F.count("*").alias("hits"))
-    ordered = hits.join(live.drop("hay"), "signal_id")
-    order = [F.desc("hits"), F.when(F.col("kind") == "endpoint", 0).otherwise(1), "start_line", "end_line", "kind", "name", "signal_id"]
-    return top(ordered, "query_id", order, limit).select("query_id", "signal_id", "hits")
+    first = F.when(F.col("kind") == "endpoint", 0).otherwise(1)
+    ordered = held.join(live.drop("hay").withColumn("first", first), "signal_id").withColumn("weight", F.lit(1).cast("bigint"))
+    best = best_sums(terms, ordered, "signal_id", limit, ["first", "start_line", "end_line", "kind", "name"])
+    return best.select("query_id", "signal_id", F.col("total").alias("hits"))
 
 
 def exact_vectors(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import recall
+from brindle.operators import anchors, recall
 from brindle.operators.sums import best_sums
 
 
@@ -76,3 +76,18 @@ def test_path_symbol_shuffles_no_row_per_query_and_path(spark):
     assert {(r.path, r.score) for r in best.filter("query_id = 5").collect()} == {("src/alpha/beta007.py", 3.0), ("src/alpha/beta009.py", 2.25), ("src/alpha/beta000.py", 2.0)}
     assert best.count() == 900
     assert shuffled_rows(best) < 20_000
+
+
+def signals_and_terms(spark):
+    """300 signals and 300 queries of the same two words; a third word is in two signals only."""
+    schema = "signal_id string, kind string, name string, tokens array<string>, metadata map<string,string>, start_line int, end_line int, file_path string, recallable boolean, deleted_at bigint"
+    rows = [(f"s{i:03}", "endpoint" if i == 70 else "type", "alphaBeta" + "Gamma" * (i in (7, 9)), None, {"k": "v"}, 1000 - i, None, "p", True, None) for i in range(300)]
+    rows += [("gone", "type", "alphaBetaGamma", None, {}, 1, 1, "p", True, 5), ("mute", "type", "alphaBetaGamma", None, {}, 1, 1, "p", False, None)]
+    return spark.createDataFrame(rows, schema), recall.query_terms(spark.range(300).select(F.col("id").alias("query_id"), F.lit("alpha beta gamma").alias("query_text")))
+
+
+def test_signal_scores_shuffle_no_row_per_query_and_signal(spark):
+    signals, terms = signals_and_terms(spark)
+    scores = anchors.signal_scores(recall.signal_recall(terms, signals, 4), terms, signals)
+    assert {(r.signal_id, r.score) for r in scores.filter("query_id = 5").collect()} == {("s009", 1.0), ("s007", 1.0), ("s070", 0.666667), ("s299", 0.666667)}
+    assert shuffled_rows(scores) < 30_000
