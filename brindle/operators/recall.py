@@ -214,7 +214,7 @@ def hint_parts(hints: DataFrame, texts: DataFrame, files: DataFrame, symbols: Da
     ``planner_lexical`` and ``planner_path_symbol``. ``hints`` has ``query_id, term``;
     ``texts`` has ``path, text``; the rest as in ``path_symbol``."""
     scored = scored_postings(texts, "path", "text", hints)
-    whole = lexical_all(scored, hints, "path", limit)
+    whole = cut_lineage(lexical_all(scored, hints, "path", limit))  # read twice
     rest = hints.join(whole.select("query_id").distinct(), "query_id", "left_anti")
     lexical_rows = whole.unionByName(lexical_any(scored, rest, "path", limit)).select("query_id", "path", F.lit("planner_lexical").alias("key"), F.col("score").alias("value"))
     named = path_symbol(hints, files, symbols, tokens, limit).select("query_id", "path", F.lit("planner_path_symbol").alias("key"), F.col("score").alias("value"))

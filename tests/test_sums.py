@@ -91,3 +91,15 @@ def test_signal_scores_shuffle_no_row_per_query_and_signal(spark):
     scores = anchors.signal_scores(recall.signal_recall(terms, signals, 4), terms, signals)
     assert {(r.signal_id, r.score) for r in scores.filter("query_id = 5").collect()} == {("s009", 1.0), ("s007", 1.0), ("s070", 0.666667), ("s299", 0.666667)}
     assert shuffled_rows(scores) < 30_000
+
+
+def test_hint_parts_shuffle_no_row_per_query_and_path(spark):
+    texts = spark.range(300).select(F.format_string("p%03d", "id").alias("path"), F.concat(F.lit("alpha beta "), F.repeat(F.lit("gamma "), (F.col("id") % 150).cast("int"))).alias("text"))
+    hints = spark.range(300).select(F.col("id").alias("query_id"), F.explode(F.when(F.col("id") > 0, F.array(F.lit("alpha"), F.lit("beta"))).otherwise(F.array(F.lit("alpha"), F.lit("none")))).alias("term"))
+    symbols = texts.select("path", F.lit("alphaRay").alias("name"))
+    parts = recall.hint_parts(hints, texts, texts.select("path"), symbols, spark.createDataFrame([], "path string, term string"), 2)
+    rows = parts.collect()
+    assert {(r.path, r.key) for r in rows if r.query_id == 5} == {("p000", "planner_lexical"), ("p150", "planner_lexical"), ("p000", "planner_path_symbol"), ("p001", "planner_path_symbol")}
+    assert {(r.path, r.key) for r in rows if r.query_id == 0} == {("p000", "planner_lexical"), ("p150", "planner_lexical"), ("p000", "planner_path_symbol"), ("p001", "planner_path_symbol")}
+    assert len(rows) == 1200
+    assert shuffled_rows(parts) < 30_000
