@@ -93,6 +93,13 @@ def test_signal_scores_shuffle_no_row_per_query_and_signal(spark):
     assert shuffled_rows(scores) < 30_000
 
 
+def test_signal_recall_shuffles_no_row_per_query_and_signal(spark):
+    signals, terms = signals_and_terms(spark)
+    best = recall.signal_recall(terms, signals, 4)
+    assert {(r.signal_id, r.hits) for r in best.filter("query_id = 5").collect()} == {("s009", 3), ("s007", 3), ("s070", 2), ("s299", 2)}
+    assert shuffled_rows(best) < 20_000
+
+
 def test_hint_parts_shuffle_no_row_per_query_and_path(spark):
     texts = spark.range(300).select(F.format_string("p%03d", "id").alias("path"), F.concat(F.lit("alpha beta "), F.repeat(F.lit("gamma "), (F.col("id") % 150).cast("int"))).alias("text"))
     hints = spark.range(300).select(F.col("id").alias("query_id"), F.explode(F.when(F.col("id") > 0, F.array(F.lit("alpha"), F.lit("beta"))).otherwise(F.array(F.lit("alpha"), F.lit("none")))).alias("term"))
